@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import near_duplicates
+from foliospark.llm import near_duplicates, nearest, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,13 +15,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of which one is among the 5 most similar of the other."""
+    return nearest.neighbour_pairs(_table(spark, sf_dir, "paper_embeddings_index"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of papers with nearly the same title and summary."""
     return near_duplicates.find_similar_papers(_table(spark, sf_dir, "paper_metadata"))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return tokenizer.encode_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p6_found": p6_found}
+    return {"p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:

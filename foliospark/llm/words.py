@@ -24,8 +24,7 @@ def normalised(text: Column) -> Column:
 
 def word_hashes(norm: Column) -> Column:
     """One int per word of a normalised text; an empty array for an empty one."""
-    words = F.filter(F.split(norm, " "), lambda w: w != "")
-    return F.transform(words, lambda w: F.hash(w))
+    return F.when(norm == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(norm, " "), lambda w: F.hash(w)))
 
 
 def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
