@@ -44,6 +44,8 @@ COARSE_LOG, FINE_LOG = 0.47, 0.6
 BUCKET_TARGET = 128
 PROBES = 24
 SEED = 20_240_101
+#: The table of models is broadcast up to this many; beyond it a shuffle joins it.
+MAX_BROADCAST_MODELS = 10_000
 
 
 def model_name(c: Column) -> Column:
@@ -60,6 +62,9 @@ def usable_vectors(df: DataFrame, key: str, model: str, vector: str) -> DataFram
     rows = rows.where("id is not null and model != '' and size(vec) > 0")
     sizes = rows.groupBy("model", F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
     usual = sizes.groupBy("model").agg(F.max_by(F.struct("dim", "n"), F.struct("n", -F.col("dim"))).alias("u")).select("model", F.col("u.dim").alias("dim"), F.col("u.n").alias("n"))
+    usual = materialise(usual, "models")
+    if usual.limit(MAX_BROADCAST_MODELS + 1).count() <= MAX_BROADCAST_MODELS:
+        usual = F.broadcast(usual)
     rows = rows.join(usual, "model").where(F.size("vec") == F.col("dim"))
     sound = F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x)) & F.exists("vec", lambda x: x != 0)
     return rows.where(sound).select("id", "model", "vec", "n")
