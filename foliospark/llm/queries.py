@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import near_duplicates, nearest, tokenizer
+from foliospark.llm import names, near_duplicates, nearest, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different spellings of one person or organisation."""
+    return names.spelling_pairs(_table(spark, sf_dir, "paper_metadata"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors of which one is among the 5 most similar of the other."""
     return nearest.neighbour_pairs(_table(spark, sf_dir, "paper_embeddings_index"))
@@ -31,7 +36,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
