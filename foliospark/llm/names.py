@@ -346,7 +346,7 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def link_spellings(names: DataFrame, column: str) -> DataFrame:
     """(name, entity): spellings that are linked with others, and a number that
     is the same for all spellings of one entity."""
-    distinct = names.select(F.col(column).alias("name")).where(r"name rlike '(?U)\\p{L}'").distinct()
+    distinct = materialise(names.select(F.col(column).alias("name")).where(r"name rlike '(?U)\\p{L}'").distinct(), "names")
     rows = distinct.mapInPandas(_keyed, "name string, keys array<string>").select("name", F.explode("keys").alias("key"))
     pairs = bucket_pairs(rows, "key", "name", []).distinct()
     accepted = materialise(pairs.mapInPandas(_compared, "name_a string, name_b string, how int, weak_a boolean, weak_b boolean"), "name-pairs")

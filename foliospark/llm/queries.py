@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import names, near_duplicates, nearest, tokenizer
+from foliospark.llm import batch_dedup, names, near_duplicates, nearest, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.spelling_pairs(_table(spark, sf_dir, "paper_metadata"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of paper_metadata that bring nothing new, with their paper's first row."""
+    return batch_dedup.find_repeats(_table(spark, sf_dir, "paper_metadata"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors of which one is among the 5 most similar of the other."""
     return nearest.neighbour_pairs(_table(spark, sf_dir, "paper_embeddings_index"))
@@ -36,7 +41,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
