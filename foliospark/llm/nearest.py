@@ -44,6 +44,7 @@ COARSE_LOG, FINE_LOG = 0.47, 0.6
 BUCKET_TARGET = 128
 PROBES = 24
 SEED = 20_240_101
+TABLE_BITS = 63
 #: The table of models is broadcast up to this many; beyond it a shuffle joins it.
 MAX_BROADCAST_MODELS = 10_000
 
@@ -78,6 +79,13 @@ def _random(dim: int, table: int, level: int, hashes: int, width: float) -> tupl
     return a.astype(np.float32), b.astype(np.float32), r
 
 
+def _equal_vectors(x: np.ndarray) -> np.ndarray:
+    """A number per row that equal vectors share."""
+    r = np.random.default_rng(SEED).integers(1 << 62, size=x.shape[1], dtype=np.int64) * 2 + 1
+    with np.errstate(over="ignore"):
+        return ((x + np.float32(0)).view(np.int32).astype(np.int64) * r).sum(axis=1)
+
+
 def coarse_hashes(n: int) -> int:
     return min(64, max(0, math.ceil(math.log(max(1, n) / CELL_TARGET) / COARSE_LOG))) if n > CELL_TARGET else 0
 
@@ -107,13 +115,13 @@ def _cells(tables: int, sizes_only: bool = False):
                     code = np.floor(x @ a.T + b).astype(np.int64)
                     with np.errstate(over="ignore"):
                         cell = (code * r).sum(axis=1) * np.int64(0x5851F42D4C957F2D) + tag * np.int64(31) + np.int64(t)
+                    cell = (cell & ~np.int64(TABLE_BITS)) | np.int64(t)  # the table can be read off a cell
                     if sizes_only:
                         found, count = np.unique(cell, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count)], names=["cell", "n"])
                         continue
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell), pa.array(np.full(len(at), t, np.int32)), part.column("id"), part.column("vh"), vec],
-                        schema=pa.schema([("cell", pa.int64()), ("tab", pa.int32()), ("id", pa.int64()), ("vh", pa.int64()), ("vec", vec.type)]),
+                        [pa.array(cell), part.column("id"), vec], schema=pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("vec", vec.type)])
                     )
 
     return run
@@ -207,10 +215,17 @@ FOUND = pa.schema([("q", pa.int64()), ("near", pa.list_(pa.struct([("s", pa.floa
 
 def _search(k: int):
     def run(table: pa.Table) -> pa.Table:
-        ids, vh = table.column("id").to_numpy(), table.column("vh").to_numpy()
+        ids = table.column("id").to_numpy()
         x = table.column("vec").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        block, home = table.column("block").to_numpy(), table.column("home").to_numpy()
-        q, rows, sims = search_cell(ids, vh, x, block == home, np.ones(len(ids), bool), table.column("tab")[0].as_py(), k)
+        _, first = np.unique(ids, return_index=True)  # repeated rows count once
+        if len(first) < len(ids):
+            table = table.take(pa.array(first))
+            ids, x = ids[first], x[first]
+        data = np.ones(len(ids), bool)
+        if "block" in table.column_names:
+            data = table.column("block").to_numpy() == table.column("home").to_numpy()
+        tab = table.column("cell")[0].as_py() & TABLE_BITS
+        q, rows, sims = search_cell(ids, _equal_vectors(x), x, data, np.ones(len(ids), bool), tab, k)
         ok = rows >= 0
         offsets = np.concatenate([[0], np.cumsum(ok.sum(axis=1))]).astype(np.int32)
         near = pa.StructArray.from_arrays([pa.array(-sims[ok]), pa.array(ids[rows[ok]])], names=["s", "c"])
@@ -232,16 +247,16 @@ def nearest(df: DataFrame, key: str, model: str, vector: str, k: int = K, tables
     heads = first.where(F.col("r") <= k).select("vh", F.col("id").alias("c"), F.col("r").alias("rank"))
     of_rest = rest.join(heads, "vh").select(F.col("id").alias("q"), "c", F.lit(1.0).alias("similarity"), "rank")
 
-    index = rows.join(rest.select("id"), "id", "left_anti").dropDuplicates(["id"]) if not first.isEmpty() else rows
-    cells = index.mapInArrow(_cells(tables), "cell bigint, tab int, id bigint, vh bigint, vec array<float>")
+    index = rows.join(rest.select("id"), "id", "left_anti") if not first.isEmpty() else rows
+    cells = index.mapInArrow(_cells(tables), "cell bigint, id bigint, vec array<float>")
+    group = ["cell"]
     sizes = index.mapInArrow(_cells(tables, sizes_only=True), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     large = materialise(sizes.where(F.col("n") > cell_rows).select("cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("g")), "cells")
-    if large.isEmpty():
-        cells = cells.withColumns({"home": F.lit(0), "block": F.lit(0)})
-    else:
+    if not large.isEmpty():
+        group = ["cell", "block"]
         cells = cells.join(large, "cell", "left").withColumn("g", F.coalesce("g", F.lit(1)))
         cells = cells.withColumn("home", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).drop("g")
-    found = cells.groupBy("cell", "block").applyInArrow(_search(k), "q bigint, near array<struct<s:double,c:bigint>>")
+    found = cells.groupBy(*group).applyInArrow(_search(k), "q bigint, near array<struct<s:double,c:bigint>>")
     merged = found.groupBy("q").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     out = merged.select("q", F.posexplode("near").alias("p", "x")).select("q", F.col("x.c").alias("c"), (-F.col("x.s")).alias("similarity"), (F.col("p") + 1).alias("rank"))
     return out.unionByName(of_rest)
