@@ -31,7 +31,7 @@ GRAM, ELL = 4, 3
 LEAST_FIELDS = 6
 FIELD_BITS = 0x0249249249249249
 
-SKETCH_SCHEMA = "id bigint, tx bigint, fp bigint, keys array<bigint>"
+SKETCH_SCHEMA = "id bigint, tx bigint, fp bigint, keys array<bigint>, words array<int>"
 
 
 def record_text(title: Column, summary: Column) -> Column:
@@ -46,32 +46,43 @@ def texts(df: DataFrame, key: str, text: Column) -> DataFrame:
     return norm.select("id", F.xxhash64("norm").alias("tx"), word_hashes(F.col("norm")).alias("words"))
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys for the first row of each text in the partition, null for its copies."""
-    seen = np.empty(0, np.int64)
-    for b in batches:
-        if not b.num_rows:
-            continue
-        tx = b.column("tx").to_numpy()
-        _, first = np.unique(tx, return_index=True)
-        first.sort()
-        first = first[~np.isin(tx[first], seen)]
-        seen = np.union1d(seen, tx[first])
-        words, offsets = flat(b.column("words").take(pa.array(first)))
-        keys, prints = omh.sketch(words, offsets, GRAM, ELL)
-        counts = np.zeros(b.num_rows, np.int64)
-        counts[first] = keys.shape[1]
-        offs = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        mask = np.zeros(b.num_rows + 1, bool)
-        mask[:-1] = counts == 0
-        lists = pa.ListArray.from_arrays(pa.array(offs, mask=mask), pa.array(keys.ravel()))
-        fp = np.zeros(b.num_rows, np.int64)
-        fp[first] = prints
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tx"), pa.array(fp), lists], names=["id", "tx", "fp", "keys"])
+def sketcher(gram: int, ell: int, keys: int, carry: list[str]):
+    """For mapInArrow over rows with tx and words: the columns of ``carry``, then
+    fp, keys and words, null for texts that the partition has had already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.empty(0, np.int64)
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            rows = np.flatnonzero(b.column("tx").is_valid().to_numpy(zero_copy_only=False))
+            tx = b.column("tx").fill_null(0).to_numpy()
+            _, at = np.unique(tx[rows], return_index=True)
+            first = np.sort(rows[at])
+            first = first[~np.isin(tx[first], seen)]
+            seen = np.union1d(seen, tx[first])
+            words, offsets = flat(b.column("words").take(pa.array(first)))
+            sketched, prints = omh.sketch(words, offsets, gram, ell)
+            fp = np.zeros(n, np.int64)
+            fp[first] = prints
+            lists = [_spread(n, first, sketched[:, :keys].ravel(), np.full(len(first), keys)), _spread(n, first, words, np.diff(offsets))]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(fp), *lists], names=[*carry, "fp", "keys", "words"])
+
+    return run
+
+
+def _spread(n: int, rows: np.ndarray, values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    """Lists at ``rows`` of ``n``, null elsewhere."""
+    of = np.zeros(n, np.int64)
+    of[rows] = lengths
+    none = np.ones(n + 1, bool)
+    none[rows] = none[-1] = False
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(of)]).astype(np.int32), mask=none), pa.array(values))
 
 
 def sketch_table(df: DataFrame, key: str, text: Column) -> DataFrame:
-    return texts(df, key, text).mapInArrow(_sketched, SKETCH_SCHEMA)
+    return texts(df, key, text).mapInArrow(sketcher(GRAM, ELL, omh.SKETCHES, ["id", "tx"]), SKETCH_SCHEMA)
 
 
 def agreeing_fields(x: Column, y: Column) -> Column:
@@ -108,7 +119,7 @@ def similar_texts(df: DataFrame, key: str, text: Column, threshold: float = THRE
     pairs = bucket_pairs(rows, "key", "tx", ["fp"])
     pairs = pairs.where(agreeing_fields(F.col("fp_a"), F.col("fp_b")) >= LEAST_FIELDS)
     pairs = pairs.select(F.col("tx_a").alias("a"), F.col("tx_b").alias("b")).distinct()
-    links = verify(pairs, texts(df, key, text).select("tx", "words"), threshold)
+    links = verify(pairs, table.where("words is not null").select("tx", "words"), threshold)
     return table.select("id", "tx").distinct(), links
 
 
