@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import batch_dedup, leaks, names, near_duplicates, nearest, tokenizer
+from foliospark.llm import batch_dedup, leaks, names, near_duplicates, nearest, subjects, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,8 +45,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject areas of each document."""
+    return subjects.find_subjects(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "subject_labels"), _table(spark, sf_dir, "subjects"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
