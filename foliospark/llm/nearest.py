@@ -210,7 +210,9 @@ def search_cell(ids: np.ndarray, vh: np.ndarray, x: np.ndarray, data: np.ndarray
     return q, np.where(np.isinf(np.take_along_axis(exact, top, 1)), -1, np.take_along_axis(who[q], top, 1)), np.take_along_axis(exact, top, 1)
 
 
-FOUND = pa.schema([("q", pa.int64()), ("near", pa.list_(pa.struct([("s", pa.float64()), ("c", pa.int64())])))])
+#: Neighbours and their similarities in units of the ninth decimal.
+FOUND = pa.schema([("q", pa.int64()), ("c", pa.list_(pa.int64())), ("s", pa.list_(pa.int32()))])
+UNITS = 1_000_000_000
 
 
 def _search(k: int):
@@ -228,8 +230,8 @@ def _search(k: int):
         q, rows, sims = search_cell(ids, _equal_vectors(x), x, data, np.ones(len(ids), bool), tab, k)
         ok = rows >= 0
         offsets = np.concatenate([[0], np.cumsum(ok.sum(axis=1))]).astype(np.int32)
-        near = pa.StructArray.from_arrays([pa.array(-sims[ok]), pa.array(ids[rows[ok]])], names=["s", "c"])
-        return pa.table([pa.array(ids[q]), pa.ListArray.from_arrays(pa.array(offsets), near)], schema=FOUND)
+        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for v in (ids[rows[ok]], np.rint(sims[ok] * UNITS).astype(np.int32))]
+        return pa.table([pa.array(ids[q]), *lists], schema=FOUND)
 
     return run
 
@@ -256,9 +258,11 @@ def nearest(df: DataFrame, key: str, model: str, vector: str, k: int = K, tables
         group = ["cell", "block"]
         cells = cells.join(large, "cell", "left").withColumn("g", F.coalesce("g", F.lit(1)))
         cells = cells.withColumn("home", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).drop("g")
-    found = cells.groupBy(*group).applyInArrow(_search(k), "q bigint, near array<struct<s:double,c:bigint>>")
-    merged = found.groupBy("q").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
-    out = merged.select("q", F.posexplode("near").alias("p", "x")).select("q", F.col("x.c").alias("c"), (-F.col("x.s")).alias("similarity"), (F.col("p") + 1).alias("rank"))
+    found = cells.groupBy(*group).applyInArrow(_search(k), "q bigint, c array<bigint>, s array<int>")
+    # one row per table and query: a handful
+    tables_of = F.transform(F.collect_list(F.struct("s", "c")), lambda t: F.zip_with(t["s"], t["c"], lambda s, c: F.struct((-s).alias("s"), c.alias("c"))))
+    merged = found.groupBy("q").agg(tables_of.alias("near")).select("q", F.slice(F.sort_array(F.array_distinct(F.flatten("near"))), 1, k).alias("near"))
+    out = merged.select("q", F.posexplode("near").alias("p", "x")).select("q", F.col("x.c").alias("c"), (-F.col("x.s") / UNITS).alias("similarity"), (F.col("p") + 1).alias("rank"))
     return out.unionByName(of_rest)
 
 
