@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import batch_dedup, leaks, names, near_duplicates, nearest, subjects, tokenizer
+from foliospark.llm import batch_dedup, clusters, leaks, names, near_duplicates, nearest, subjects, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_dedup.find_repeats(_table(spark, sf_dir, "paper_metadata"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of topics with the smallest row of their cluster."""
+    return clusters.found_rows(_table(spark, sf_dir, "topics"))
+
+
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of topics with their sizes and most typical rows."""
+    return clusters.describe_clusters(_table(spark, sf_dir, "topics"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors of which one is among the 5 most similar of the other."""
     return nearest.neighbour_pairs(_table(spark, sf_dir, "paper_embeddings_index"))
@@ -51,7 +61,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+    found = (p1_found, p2_found, p3_found, p3_clusters, p4_found, p6_found, p7_ids, p8_found, p9_found)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
