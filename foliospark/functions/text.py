@@ -31,7 +31,7 @@ def as_text(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at either end, Unicode's kinds included. Null stays null."""
-    return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.regexp_replace(c, r"^[\s\p{Z}]+|(?<![\s\p{Z}])[\s\p{Z}]+$", "")
 
 
 def clean_text(c: Column, strict: bool = False) -> Column:
@@ -83,8 +83,7 @@ def tokens(c: Column, stop_words: tuple[str, ...] = ()) -> Column:
     found = F.regexp_extract_all(F.lower(as_text(c)), F.lit(TOKEN), F.lit(0))
     if not stop_words:
         return found
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(found, lambda w: ~F.array_contains(stop, w))
+    return F.filter(found, lambda w: ~w.isin(*stop_words))  # a hash set, not an array searched per word
 
 
 def bigrams(words: Column) -> Column:

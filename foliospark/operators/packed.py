@@ -8,7 +8,8 @@ on rows is done by built-in expressions.
 
 Defined results
 ---------------
-* null, blank and empty-list fields give no rows;
+* null, blank and empty-list fields give no rows; a null key gives rows with a
+  null row_key;
 * repeated rows of the input give repeated rows of the output;
 * empty pieces and "et al." take no place;
 * a quote that is never closed is an ordinary character;
@@ -63,7 +64,7 @@ NAMES, KEYWORDS = FieldKind(True), FieldKind(False)
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 def _marked(c: Column, kind: FieldKind) -> Column:

@@ -13,7 +13,9 @@ MAX_FEATURES, TOP_TERMS = 20_000, 10
 def term_counts(docs: DataFrame, key: str, column: str, stop_words: tuple[str, ...] = text.STOP_WORDS, pairs: bool = True) -> DataFrame:
     """(key, term, tf) of words and, with ``pairs``, of neighbouring words."""
     found = text.terms(F.col(column), stop_words) if pairs else text.tokens(F.col(column), stop_words)
-    return docs.select(key, F.explode(found).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # the filters are those a join would infer: all uses then share one exchange
+    words = docs.where(F.col(key).isNotNull()).select(key, F.explode(found).alias("term")).where("term is not null")
+    return words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(counts: DataFrame, most: int = MAX_FEATURES) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text, vectors
 from foliospark.operators import corpus, models, packed, rag, retrieval, search, tfidf, topics
+from foliospark.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts cost much work per row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "paper_metadata")
 
@@ -183,22 +189,23 @@ def assign_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tfidf.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text", (), pairs=False)
+    counts = tfidf.term_counts(_texts(spark, sf_dir, "documents"), "doc_id", "text", (), pairs=False)
     return counts.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
 
 
 def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = text.tokens(F.col("summary"), text.STOP_WORDS)
-    pairs = _papers(spark, sf_dir).select(F.explode(text.bigrams(words)).alias("bigram"))
+    pairs = _texts(spark, sf_dir, "paper_metadata").select(F.explode(text.bigrams(words)).alias("bigram"))
     return pairs.groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tfidf_topterms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.top_terms(_clean(spark, sf_dir), "record_id", "text_unit", "primary_category")
+    docs = corpus.clean_corpus(_texts(spark, sf_dir, "paper_metadata"), keep=("record_id",))
+    return tfidf.top_terms(docs, "record_id", "text_unit", "primary_category")
 
 
 def topic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.describe_topics(table(spark, sf_dir, "documents"), "doc_id", "text", "section")
+    return tfidf.describe_topics(_texts(spark, sf_dir, "documents"), "doc_id", "text", "section")
 
 
 def kmeans_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +238,7 @@ def summarize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.hashed_embedding(_papers(spark, sf_dir), "record_id", "summary")
+    return models.hashed_embedding(_texts(spark, sf_dir, "paper_metadata"), "record_id", "summary")
 
 
 # --- packed fields
@@ -239,7 +246,7 @@ def embed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value packed in authors or keywords, with its place."""
-    return packed.split_fields(_papers(spark, sf_dir), table(spark, sf_dir, "topics"))
+    return packed.split_fields(_texts(spark, sf_dir, "paper_metadata"), _texts(spark, sf_dir, "topics"))
 
 
 def queries() -> dict[str, Query]:

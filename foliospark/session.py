@@ -37,6 +37,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table just read, in enough partitions to keep all cores busy.
+
+    Only a table in at most half as many splits as there are cores is moved, which
+    no large table is; costly work on a small file then does not run in one task.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() <= cores else scan
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a folder written by this package."""
     jvm = spark.sparkContext._jvm
