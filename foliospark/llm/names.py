@@ -82,6 +82,8 @@ for _name, _nicks in NICKNAMES.items():
     for _nick in (*_nicks.split(), _name):
         FORMAL[_nick] = FORMAL.get(_nick, frozenset()) | {_name}
 
+#: Names of more long words are linked only by the same words in any order.
+MOST_WORDS = 5
 _LETTERS = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "a", "œ": "o", "ı": "i", "þ": "th", "ð": "d"})
 _SUFFIX = re.compile(r",?\s+(?:jr|sr|ii|iii|iv)\.?\s*$", re.I)
 _INITIALS = re.compile(r"(?:[A-Z]\.?-?){1,3}\.?$|[a-z]\.$|(?:[a-z]\.-?){2,3}$")
@@ -191,6 +193,8 @@ def blocks(spelling: str) -> list[str]:
         whole = sorted(sound(w) for w in n.words)
         return sorted(keys | {"o|" + " ".join(whole)})
     keys = set()
+    if len(n.words) > MOST_WORDS:
+        return ["l|" + " ".join(sorted(n.words))]
     for words, i in [(words, i) for words in _joined(n.words) for i in range(len(words))]:
         family, others = words[i], [w for j, w in enumerate(words) if j != i]
         firsts = {g[0] for w in others for g in (w, *formal(w))} | set(n.initials[:1] if not others else "")
@@ -297,6 +301,8 @@ def compare(x: str, y: str) -> int:
                 rest = b.words[:i] + b.words[i + 1 :]
                 best = max(best, _fits(a.initials, rest, b.parts[:i] + b.parts[i + 1 :], b.initials))
         return best
+    if len(b.words) > MOST_WORDS or len(a.words) > MOST_WORDS:
+        return 3 * (sorted(a.words) == sorted(b.words))
     if a.initials and b.initials and not (a.initials.startswith(b.initials) or b.initials.startswith(a.initials)):
         return 0
     for mine in _joined(a.words):

@@ -7,8 +7,8 @@ class from the start; only one text of a class is sketched and compared, and
 classes are spread out to pairs of rows at the end, as the result asks for.
 
 Defined results: rows with a null title or a null or blank summary are left out;
-rows whose normalised text has no word match nothing; repeated rows of the same
-key count once; a text of one or two words is a single sequence.
+rows whose normalised text has no word, or whose key is null, match nothing;
+repeated rows of the same key count once; a text of one or two words is a single sequence.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def record_text(title: Column, summary: Column) -> Column:
 
 def texts(df: DataFrame, key: str, text: Column) -> DataFrame:
     """(id, tx, words): the key, a hash of the normalised text, its word hashes."""
-    norm = df.select(F.col(key).cast("bigint").alias("id"), normalised(text).alias("norm")).where("norm != ''")
+    norm = df.select(F.col(key).cast("bigint").alias("id"), normalised(text).alias("norm")).where("id is not null and norm != ''")
     return norm.select("id", F.xxhash64("norm").alias("tx"), word_hashes(F.col("norm")).alias("words"))
 
 

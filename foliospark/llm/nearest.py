@@ -51,7 +51,7 @@ MAX_BROADCAST_MODELS = 10_000
 
 def model_name(c: Column) -> Column:
     """A model's name however it is typed: no path, case, or kind of dash."""
-    c = F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", "")
+    c = F.regexp_replace(F.lower(c), r"(?U)^\s+|(?<!\s)\s+$", "")
     c = F.regexp_replace(F.regexp_extract(c, r"([^/]*)/*$", 1), r"[^\p{L}\p{N}]+", "-")
     return F.regexp_replace(c, "^-|-$", "")
 
