@@ -2,9 +2,10 @@
 
 A field is cut into tokens (special characters, and runs of anything else).
 Masking each run to one letter gives the field's *skeleton*. How a skeleton
-splits is worked out once per distinct skeleton, in Python; the answer is a
-list of token ranges, joined back to the rows and applied by position. All work
-on rows is done by built-in expressions.
+splits is worked out once per distinct skeleton, in Python; the answer says of
+each token, by position, which value it belongs to, and is joined back to the
+rows. All work on rows is done by built-in expressions, in time linear in the
+field.
 
 Defined results
 ---------------
@@ -13,6 +14,7 @@ Defined results
 * repeated rows of the input give repeated rows of the output;
 * empty pieces and "et al." take no place;
 * a quote that is never closed is an ordinary character;
+* the noncharacters U+FDD0 to U+FDD5 are used inside and not kept;
 * an empty table gives an empty table; other columns are ignored, and the
   operator's inner names do not clash with them.
 """
@@ -44,7 +46,12 @@ ETAL_MARKS = "﷓﷔"
 SEPARATORS = ",;|/•·\n\r\t"
 SUFFIX = r"^\s*(?:Jr|Sr|II|III|IV)\.?\s*$"
 
-RULES_SCHEMA = "skeleton string, cuts array<struct<first:int,n:int,style:int>>"
+#: Begins a value in the joined tokens.
+START = "\ufdd5"
+
+#: What becomes of each token: its value's style where it begins one, else one of these.
+RULES_SCHEMA = "skeleton string, codes array<int>"
+GOES_ON, DROPPED = -1, -2
 PLAIN, CSV, DOUBLE, SINGLE = 0, 1, 2, 3
 
 
@@ -96,17 +103,30 @@ def _tokens(field: Column, kind: FieldKind) -> tuple[Column, Column]:
 
 
 def _letters(tokens: Column, is_list: Column, has_comma: Column, kind: FieldKind) -> Column:
-    """One character per token; kept as they are: separators and quotes."""
+    """One character per token; kept as they are: separators and quotes.
+
+    What holds for the whole field is decided outside the lambdas, which would
+    otherwise work it out again for every token.
+    """
+
+    def letters(listed: bool, single_words: bool) -> Column:
+        special = r"""^["',;|/&•·\n\r\t﷐-﷔]$""" if listed else r"""^[",;|/&•·\n\r\t﷐-﷔]$"""
 
-    def letter(t: Column) -> Column:
-        special = (F.length(t) == 1) & t.rlike(r"""["',;|/&•·\n\r\t﷐-﷔]""")
-        blank = t.rlike(r"(?U)^\s*$")
-        c = F.when(special & ~(~is_list & (t == "'")), t).when(F.substring(t, 1, 1) == "\\", F.when(is_list, "\\").otherwise("w")).when(blank, " ")
-        if kind.names:
-            c = c.when(is_list | ~has_comma, "w").when(t.rlike(SUFFIX), "j").when(~t.rlike(r"(?U)\S\s+\S"), "s")
-        return c.otherwise("w")
+        def letter(t: Column) -> Column:
+            c = F.when(t.rlike(special), t)
+            if listed:
+                c = c.when(F.substring(t, 1, 1) == "\\", "\\")
+            c = c.when(t.rlike(r"(?U)^\s*$"), " ")
+            if single_words:
+                c = c.when(t.rlike(SUFFIX), "j").when(~t.rlike(r"(?U)\S\s+\S"), "s")
+            return c.otherwise("w")
 
-    return F.array_join(F.transform(tokens, letter), "")
+        return F.transform(tokens, letter)
+
+    mixed = F.when(is_list, letters(True, False))
+    if kind.names:
+        mixed = mixed.when(has_comma, letters(False, True))
+    return F.array_join(mixed.otherwise(letters(False, False)), "")
 
 
 def resolve_skeleton(skeleton: str) -> list[tuple[int, int, int]]:
@@ -198,20 +218,30 @@ def _resolve_plain(body: str, names: bool) -> list[tuple[int, int, int]]:
     return cuts
 
 
+def token_codes(skeleton: str) -> list[int]:
+    """For each token: the style of the value it begins, GOES_ON or DROPPED."""
+    codes = [DROPPED] * (len(skeleton) - 2)
+    for first, n, style in resolve_skeleton(skeleton):
+        if n:
+            codes[first - 1] = style
+            codes[first : first + n - 1] = [GOES_ON] * (n - 1)
+    return codes
+
+
 def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        cuts = [[{"first": a, "n": b, "style": c} for a, b, c in resolve_skeleton(s)] for s in pdf["skeleton"]]
-        yield pd.DataFrame({"skeleton": pdf["skeleton"], "cuts": cuts})
+        yield pd.DataFrame({"skeleton": pdf["skeleton"], "codes": [token_codes(s) for s in pdf["skeleton"]]})
 
 
-def _unquoted(body: Column, style: Column) -> Column:
-    """Undo the quoting and escaping of the list."""
-    as_json = F.when(style == SINGLE, F.replace(F.regexp_replace(F.replace(body, F.lit("\\'"), F.lit("'")), r"\\x([0-9A-Fa-f]{2})", r"\\u00$1"), F.lit('"'), F.lit('\\"'))).otherwise(body)
+def _value(piece: Column) -> Column:
+    """A value from its style and tokens, the list's quoting and escaping undone."""
+    style, body = F.substring(piece, 1, 1), F.substr(piece, F.lit(2))
+    as_json = F.when(style == str(SINGLE), F.replace(F.regexp_replace(F.replace(body, F.lit("\\'"), F.lit("'")), r"\\x([0-9A-Fa-f]{2})", r"\\u00$1"), F.lit('"'), F.lit('\\"'))).otherwise(body)
     parsed = F.from_json(F.concat(F.lit('["'), as_json, F.lit('"]')), "array<string>")[0]
     plain = F.regexp_replace(body, r"\\(.)", "$1")
-    return (
-        F.when(style == CSV, F.replace(body, F.lit('""'), F.lit('"')))
-        .when((style >= DOUBLE) & body.contains("\\"), F.coalesce(parsed, plain))
+    return _strip(
+        F.when(style == str(CSV), F.replace(body, F.lit('""'), F.lit('"')))
+        .when(style.isin(str(DOUBLE), str(SINGLE)) & body.contains("\\"), F.coalesce(parsed, plain))
         .otherwise(body)
     )
 
@@ -231,8 +261,11 @@ def split_packed(df: DataFrame, field: str, key: str, kind: FieldKind, max_broad
     rules = materialise(rows.select("skeleton").distinct().mapInPandas(_rules, RULES_SCHEMA), "skeletons")
     small = rules.limit(max_broadcast + 1).count() <= max_broadcast
     rules = F.broadcast(rules) if small else rules.hint("shuffle_hash")
-    value = lambda c: _strip(_unquoted(_unmarked(F.array_join(F.slice(F.col("_t"), c["first"], c["n"]), "")), c["style"]))
-    values = F.filter(F.transform("cuts", value), lambda v: v != "")
+    # one string with a mark before each value, cut at the marks: linear in the field
+    begun = lambda t, code: F.when(code >= 0, F.concat(F.lit(START), code.cast("string"), t)).when(code == GOES_ON, t).otherwise("")
+    joined = _unmarked(F.array_join(F.zip_with("_t", "codes", begun), ""))
+    pieces = F.filter(F.split(joined, START), lambda x: x != "")
+    values = F.filter(F.transform(pieces, _value), lambda v: v != "")
     out = rows.join(rules, "skeleton").select("_k", F.posexplode(values).alias("_p", "val"))
     return out.select(F.col("_k").alias("row_key"), (F.col("_p") + 1).cast("bigint").alias("pos"), "val")
 
