@@ -38,7 +38,7 @@ def clean_text(c: Column, strict: bool = False) -> Column:
     """Line breaks and runs of white space to one blank, stripped.
 
     ``strict`` gives what a pattern with the backslash in the wrong place does:
-    runs of white space stay, and a letter s before plus signs becomes a blank.
+    runs of white space stay, and a letter s with a plus sign becomes a blank.
     """
     c = F.replace(as_text(c), F.lit("\n"), F.lit(" "))
     return strip(F.regexp_replace(c, r"s\+" if strict else r"[\s\p{Z}]+", " "))

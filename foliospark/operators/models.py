@@ -128,8 +128,8 @@ class HashingEmbedder:
 
 def sentence_answer(context: Column, question: str, most: int = 400) -> Column:
     """struct<answer, score>: the context's sentence that shares most words with
-    the question, and the share of the question's words it has. Of equal ones
-    the first; "" and 0 where none shares any."""
+    the question, without its final stop, and the share of the question's words
+    it has. Of equal ones the first; "" and 0 where none shares any."""
     sentences = F.filter(F.split(context, r"[\n]+|(?:[.!?] +)"), lambda s: s != "")
     wanted = F.array_distinct(text.tokens(F.lit(question), text.STOP_WORDS))
     size = F.greatest(F.size(wanted), F.lit(1))
@@ -138,7 +138,7 @@ def sentence_answer(context: Column, question: str, most: int = 400) -> Column:
     )
     best = F.array_min(scored)
     found = F.coalesce(best["n"] < 0, F.lit(False))
-    return F.struct(F.when(found, best["s"]).otherwise("").alias("answer"), F.when(found, F.round(-best["n"] / size, 6)).otherwise(0.0).cast("double").alias("score"))
+    return F.struct(F.when(found, F.regexp_replace(best["s"], "[.!?]+$", "")).otherwise("").alias("answer"), F.when(found, F.round(-best["n"] / size, 6)).otherwise(0.0).cast("double").alias("score"))
 
 
 def read(df: DataFrame, context: str, question: str, factory: Callable[[], Reader]) -> DataFrame:

@@ -114,7 +114,7 @@ SQL: dict[str, str] = {
  sentences as (select s, row_number() over () as i from (select unnest(list_filter(regexp_split_to_array(context, '[\\n]+|(?:[.!?] +)'), lambda s: s != '')) as s from ctx)),
  scored as (select s, i, len(list_intersect(q, {_words('s', False)})) as n, len(q) as size from sentences, wanted),
  best as (select * from scored where n > 0 order by n desc, i limit 1)
- select coalesce(left(s, 400), '') as answer, coalesce(round(n / size, 6), 0.0)::double as score, (select count(*) from kept) as n_sources, {PREVIEW} as context_preview,
+ select coalesce(regexp_replace(left(s, 400), '[.!?]+$', ''), '') as answer, coalesce(round(n / size, 6), 0.0)::double as score, (select count(*) from kept) as n_sources, {PREVIEW} as context_preview,
  case when n_chunks = 0 then 'No relevant context was found.' end as error from ctx left join best on true""",
     "summarize_docs": f"""with lead as (select record_id, array_to_string(list_slice(string_split({_clean('text_unit')}, ' '), 1, 40), ' ') as l from ({CLEAN}))
  select record_id, coalesce(nullif(regexp_extract(l, '^((?:[^ ]+ ){{11,}}[^ ]*[.!?])(?: |$)', 1), ''), l) as model_summary from lead""",
