@@ -1,8 +1,8 @@
 """Order MinHash sketches of word sequences.
 
 Each of ``sketches`` hash orders samples the ``ell`` smallest occurrence-labelled
-k-grams of a text and keeps them in the order of the text; the hash of that
-sequence is a key. Two texts share a key with a probability that rises with
+k-grams of a text and keeps them in the order of the text (two sketches of five:
+of the hashes); the hash of that sequence is a key. Two texts share a key with a probability that rises with
 their edit similarity. A fingerprint has three bits of each order's smallest
 gram, to turn away unlike texts that share a key by chance.
 """
@@ -14,6 +14,9 @@ import numpy as np
 from foliospark.llm.words import gram_rows, mix
 
 SKETCHES = 20  # three bits each fill a long
+#: Of five sketches so many keep the order of the text. The others keep the order
+#: of the hashes and so also meet where whole sentences have changed places.
+ORDERED_OF_FIVE = 3
 CELLS = 400_000
 
 
@@ -64,7 +67,8 @@ def sketch(words: np.ndarray, offsets: np.ndarray, k: int = 4, ell: int = 3, ske
                 if e == 0:
                     prints[rows] |= ((x[lane, p] >> np.uint64(20)) & np.uint64(7)) << np.uint64(3 * s)
                 x[lane, p] = np.iinfo(np.uint64).max
-            picked.sort(axis=1)
+            if s % 5 < ORDERED_OF_FIVE:
+                picked.sort(axis=1)
             key = np.full(len(rows), seeds[s])
             for e in range(ell):
                 key = mix((key * np.uint64(0x9E3779B97F4A7C15)) ^ h[lane, picked[:, e]])
