@@ -46,7 +46,7 @@ def test_one_small_cell_is_exact(spark):
 def test_unusable_rows_are_left_out(spark):
     rows = clustered(30, 4, 3)
     nan, inf = float("nan"), float("inf")
-    bad = [(100, "m-1", None), (101, "m-1", []), (102, "m-1", [0.0] * 4), (103, "m-1", [nan, 1, 1, 1]), (104, "m-1", [inf, 1, 1, 1]), (105, "m-1", [1.0, 2.0]), (106, None, [1.0] * 4), (107, " ", [1.0] * 4), (108, "m-1", [None, 1.0, 1.0, 1.0]), (None, "m-1", [1.0] * 4)]
+    bad = [(100, "m-1", None), (101, "m-1", []), (102, "m-1", [0.0] * 4), (103, "m-1", [nan, 1.0, 1.0, 1.0]), (104, "m-1", [inf, 1.0, 1.0, 1.0]), (105, "m-1", [1.0, 2.0]), (106, None, [1.0] * 4), (107, " ", [1.0] * 4), (108, "m-1", [None, 1.0, 1.0, 1.0]), (None, "m-1", [1.0] * 4)]
     assert pairs(table(spark, rows + bad)) == brute(rows)
 
 
