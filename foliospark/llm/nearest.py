@@ -1,8 +1,13 @@
 """Problem 4: the k most similar vectors for every vector.
 
 p-stable (Gaussian) hashing in ``tables`` tables. A table's first hashes, as
-many as the number of vectors calls for, name the *cell* a vector is sent to, so
-a vector moves once per table. Inside a cell the table's further hashes make
+many as the number of vectors calls for, name the *cell* a vector is kept in.
+The more such hashes, the likelier a near vector is kept in another cell, so a
+query is also sent to the likeliest neighbouring cells, over all tables, until a
+vector at distance ``NEAR`` has at most a chance of ``MISS`` to lie in none of
+its cells, however many hashes there are; the copies sent grow with the hashes.
+One table is searched after the other, so only one table's copies lie on disk.
+Inside a cell the table's further hashes make
 buckets; a query visits its own bucket and the buckets reached by moving one or
 two hash values to a neighbour, in the order of how likely they hold a near
 vector (the squared distance to the slots' borders). Candidates are screened in
@@ -23,6 +28,7 @@ At equal similarity (9 decimals) the smaller key wins. Repeated rows count once.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -41,6 +47,8 @@ HEAVY = 64
 COARSE_W, FINE_W = 2.5, 2.0
 #: ln(1 / chance that two unlike unit vectors share a hash) at these widths
 COARSE_LOG, FINE_LOG = 0.47, 0.6
+#: A vector this far off (of unit vectors) is in none of a query's cells with at most this chance.
+NEAR, MISS = 0.5, 0.02
 BUCKET_TARGET = 128
 PROBES = 24
 SEED = 20_240_101
@@ -96,8 +104,67 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return y / np.sqrt((y * y).sum(axis=1, keepdims=True))
 
 
-def _cells(tables: int, sizes_only: bool = False):
-    """One row per vector and table, or (cell, rows) per batch."""
+def _below(x: np.ndarray) -> np.ndarray:
+    """The normal distribution (to 0.0003)."""
+    return 0.5 * (1 + np.tanh(math.sqrt(2 / math.pi) * (x + 0.044715 * x**3)))
+
+
+def _neighbour_cells(frac: np.ndarray, r: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For places in the slots: the chance that a vector ``NEAR`` away is in the
+    same cell; the ``most`` likeliest other cells, their chances and what they
+    add to the cell's number."""
+    sigma = NEAR / COARSE_W
+    down, up = _below(-frac / sigma), _below((frac - 1) / sigma)
+    stay = 1 - down - up
+    chance, move = np.ones((len(frac), 1)), np.zeros((len(frac), 1), np.int64)
+    for i in range(frac.shape[1]):
+        each = np.stack([stay[:, i], down[:, i], up[:, i]], axis=1)
+        chance = (chance[:, :, None] * each[:, None, :]).reshape(len(frac), -1)
+        with np.errstate(over="ignore"):
+            move = (move[:, :, None] + np.array([0, -r[i], r[i]])).reshape(len(frac), -1)
+        if chance.shape[1] > most + 1:
+            top = np.argpartition(-chance, most, axis=1)[:, : most + 1]
+            chance, move = np.take_along_axis(chance, top, 1), np.take_along_axis(move, top, 1)
+    chance = np.where(move == 0, 0, chance)
+    order = np.argsort(-chance, axis=1)
+    return stay.prod(axis=1), np.take_along_axis(chance, order, 1), np.take_along_axis(move, order, 1)
+
+
+def cells_to_visit(fracs: list[np.ndarray], rs: list[np.ndarray], most: int = 15) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each table (rows, moves): the cells beside its own that a row visits.
+
+    The cell that lowers the chance to miss most is taken next, of whichever
+    table; rows that need more cells than were listed are done again with more.
+    """
+    n, h = fracs[0].shape
+    if not h:
+        return [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in fracs]
+    listed = [_neighbour_cells(f, r, most) for f, r in zip(fracs, rs, strict=True)]
+    left = np.stack([1 - x[0] for x in listed], axis=1)  # chance to miss in each table
+    chance = np.stack([np.pad(x[1], ((0, 0), (0, 1))) for x in listed], axis=1)
+    taken = np.zeros(left.shape, np.int64)
+    rows = np.arange(n)
+    while len(rows := rows[left[rows].prod(axis=1) > MISS]):
+        gain = np.take_along_axis(chance[rows], taken[rows][:, :, None], 2)[:, :, 0] / np.maximum(left[rows], 1e-12)
+        t = gain.argmax(axis=1)
+        best = gain[np.arange(len(rows)), t]
+        rows, t = rows[best > 0], t[best > 0]
+        left[rows, t] -= chance[rows, t, taken[rows, t]]
+        taken[rows, t] += 1
+    again = np.flatnonzero(left.prod(axis=1) > MISS) if most + 1 < 3**h else rows
+    taken[again] = 0
+    found = []
+    more = cells_to_visit([f[again] for f in fracs], rs, 4 * most) if len(again) else None
+    for t, (_, _, move) in enumerate(listed):
+        r, c = np.nonzero(np.arange(move.shape[1]) < taken[:, t, None])
+        r, m = (r, move[r, c]) if more is None else (np.concatenate([r, again[more[t][0]]]), np.concatenate([move[r, c], more[t][1]]))
+        found.append((r, m))
+    return found
+
+
+def _cells(tables: int, sizes_only: bool = False, only: int | None = None):
+    """One row per vector and cell it is kept in or visits (``own`` tells), of all
+    tables or ``only`` one; or (cell, rows kept) per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,19 +177,34 @@ def _cells(tables: int, sizes_only: bool = False):
                 vec, n = part.column("vec"), part.column("n")[0].as_py()
                 x = _unit(vec.flatten().to_numpy().reshape(len(at), -1)).astype(np.float32)
                 tag = np.int64(int.from_bytes(name.encode("utf-8")[:4096], "little") % (2**61 - 1))
+                sums, fracs, rs = [], [], []
                 for t in range(tables):
                     a, b, r = _random(x.shape[1], t, 0, coarse_hashes(n), COARSE_W)
-                    code = np.floor(x @ a.T + b).astype(np.int64)
+                    place = x @ a.T + b
+                    code = np.floor(place)
+                    with np.errstate(over="ignore"):
+                        sums.append((code.astype(np.int64) * r).sum(axis=1))
+                    fracs.append(place - code)
+                    rs.append(r)
+                visits = None if sizes_only else cells_to_visit(fracs, rs)
+                for t in range(tables) if only is None else [only]:
+                    rows = np.arange(len(at)) if sizes_only else np.concatenate([np.arange(len(at)), visits[t][0]])
                     with np.errstate(over="ignore"):
-                        cell = (code * r).sum(axis=1) * np.int64(0x5851F42D4C957F2D) + tag * np.int64(31) + np.int64(t)
+                        total = sums[t] if sizes_only else np.concatenate([sums[t], sums[t][visits[t][0]] + visits[t][1]])
+                        cell = total * np.int64(0x5851F42D4C957F2D) + tag * np.int64(31) + np.int64(t)
                     cell = (cell & ~np.int64(TABLE_BITS)) | np.int64(t)  # the table can be read off a cell
                     if sizes_only:
                         found, count = np.unique(cell, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count)], names=["cell", "n"])
                         continue
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell), part.column("id"), vec], schema=pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("vec", vec.type)])
-                    )
+                    own = np.arange(len(rows)) < len(at)
+                    for i in range(0, len(rows), 10_000):
+                        some = pa.array(rows[i : i + 10_000])
+                        sent = vec.take(some)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(cell[i : i + 10_000]), part.column("id").take(some), sent, pa.array(own[i : i + 10_000])],
+                            schema=pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("vec", sent.type), ("own", pa.bool_())]),
+                        )
 
     return run
 
@@ -219,13 +301,14 @@ def _search(k: int):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         x = table.column("vec").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        _, first = np.unique(ids, return_index=True)  # repeated rows count once
+        data = table.column("own").to_numpy()
+        order = np.lexsort((~data, ids))
+        first = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]  # repeated rows count once
         if len(first) < len(ids):
             table = table.take(pa.array(first))
-            ids, x = ids[first], x[first]
-        data = np.ones(len(ids), bool)
+            ids, x, data = ids[first], x[first], data[first]
         if "block" in table.column_names:
-            data = table.column("block").to_numpy() == table.column("home").to_numpy()
+            data = data & (table.column("block").to_numpy() == table.column("home").to_numpy())
         tab = table.column("cell")[0].as_py() & TABLE_BITS
         q, rows, sims = search_cell(ids, _equal_vectors(x), x, data, np.ones(len(ids), bool), tab, k)
         ok = rows >= 0
@@ -238,6 +321,7 @@ def _search(k: int):
 
 def nearest(df: DataFrame, key: str, model: str, vector: str, k: int = K, tables: int = TABLES, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(q, c, similarity, rank): for each usable row its k most similar rows."""
+    spark = df.sparkSession
     rows = usable_vectors(df, key, model, vector).withColumn("vh", F.xxhash64("model", "vec"))
     # vectors that stand in very many rows: their rows beyond the first k + 1
     ids = materialise(rows.select("id", "vh"), "vectors").distinct()
@@ -250,16 +334,23 @@ def nearest(df: DataFrame, key: str, model: str, vector: str, k: int = K, tables
     of_rest = rest.join(heads, "vh").select(F.col("id").alias("q"), "c", F.lit(1.0).alias("similarity"), "rank")
 
     index = rows.join(rest.select("id"), "id", "left_anti") if not first.isEmpty() else rows
-    cells = index.mapInArrow(_cells(tables), "cell bigint, id bigint, vec array<float>")
-    group = ["cell"]
     sizes = index.mapInArrow(_cells(tables, sizes_only=True), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     large = materialise(sizes.where(F.col("n") > cell_rows).select("cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("g")), "cells")
-    if not large.isEmpty():
-        group = ["cell", "block"]
-        cells = cells.join(large, "cell", "left").withColumn("g", F.coalesce("g", F.lit(1)))
-        cells = cells.withColumn("home", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).drop("g")
-    found = cells.groupBy(*group).applyInArrow(_search(k), "q bigint, c array<bigint>, s array<int>")
-    # one row per table and query: a handful
+    in_blocks = not large.isEmpty()
+    found = None
+    for t in range(tables):
+        cells = index.mapInArrow(_cells(tables, only=t), "cell bigint, id bigint, vec array<float>, own boolean")
+        group = ["cell"]
+        if in_blocks:
+            group = ["cell", "block"]
+            cells = cells.join(large, "cell", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+            cells = cells.withColumn("home", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).drop("g")
+        part = materialise(cells.groupBy(*group).applyInArrow(_search(k), "q bigint, c array<bigint>, s array<int>"), "near")
+        found = part if found is None else found.unionByName(part)
+        del cells
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # this table's shuffle files go before the next one's are written
+    # one row per cell visited: a handful
     tables_of = F.transform(F.collect_list(F.struct("s", "c")), lambda t: F.zip_with(t["s"], t["c"], lambda s, c: F.struct((-s).alias("s"), c.alias("c"))))
     merged = found.groupBy("q").agg(tables_of.alias("near")).select("q", F.slice(F.sort_array(F.array_distinct(F.flatten("near"))), 1, k).alias("near"))
     out = merged.select("q", F.posexplode("near").alias("p", "x")).select("q", F.col("x.c").alias("c"), (-F.col("x.s") / UNITS).alias("similarity"), (F.col("p") + 1).alias("rank"))

@@ -123,3 +123,13 @@ def _search_locally(rows):
         for q, near, sims in zip(out.column("q").to_pylist(), out.column("c").to_pylist(), out.column("s").to_pylist(), strict=True):
             best.setdefault(q, set()).update(zip([-s for s in sims], near, strict=True))
     return {(min(q, c), max(q, c)) for q, near in best.items() for _, c in sorted(near)[:5]}
+
+
+@pytest.mark.parametrize("target", [2000, 300, 60])
+def test_recall_does_not_fall_with_coarse_hashes(monkeypatch, target):
+    monkeypatch.setattr(nn, "CELL_TARGET", target)
+    monkeypatch.setattr(nn, "BUCKET_TARGET", 10_000)  # a cell is searched whole
+    rows = clustered(4000, 24, 200)
+    assert nn.coarse_hashes(4000) >= 2
+    expected = brute(rows)
+    assert len(_search_locally(rows) & expected) >= 0.985 * len(expected)
