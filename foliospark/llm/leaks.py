@@ -6,9 +6,11 @@ is shuffled but counts. One pass counts in how many documents each four-word
 sequence of the items occurs. Of each ``STRETCH`` successive sequences of a
 passage the one in the fewest documents is a seed, so any quotation of fifteen
 words holds a seed however often it leaked. A second pass looks the seeds up;
-where one is found, the run of equal words around it is measured, and the
-neighbourhood is aligned with the passage (Smith-Waterman over words) to score
-edited copies.
+where one is found, the run of equal words around it is measured. Edited copies
+may lack every seed, as exchanged words spoil the sequences over them, so they
+are looked for by all sequences of a passage: where enough words of the document
+stand in the passage's order to make an edited copy possible, the neighbourhood
+is aligned with the passage (Smith-Waterman over words).
 
 Defined results: null and empty texts and items give nothing; an item without a
 passage between its first and last sentence gives nothing; repeated rows give a
@@ -17,6 +19,7 @@ pair once; texts are searched whole.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -34,6 +37,11 @@ SEED_WORDS, STRETCH, RUN = 4, 8, 15
 COVER, EQUAL = 0.9, 0.75
 BLOCK = 4000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: What an edited copy scores for each word of the passage. Every place of the
+#: alignment that is no match costs 1, so of n words at least SAME * n are
+#: matched, and the copy spans at most SPAN * n words of the document.
+LEAST_SCORE = MATCH * EQUAL + MISMATCH * (1 - EQUAL)
+SAME, SPAN = (LEAST_SCORE + COVER) / (MATCH + 1), MATCH + 1 - LEAST_SCORE
 
 # Letters of other scripts that look like Latin ones.
 LOOK_ALIKES = str.maketrans(
@@ -82,6 +90,8 @@ class Block:
     typed: list[np.ndarray]  # for each word, the number of the typed word it is of
     lexicon: Lexicon
     grams: np.ndarray  # distinct sequences of the block, sorted
+    need: np.ndarray  # for each item, the words that an edited copy has at least
+    holders: tuple[np.ndarray, np.ndarray, np.ndarray]  # first entry of each word; items and times of the entries
     seeds: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # sequence, item, place
 
 
@@ -95,7 +105,17 @@ def make_block(rows: list[tuple[int, str]]) -> Block:
             words.append(lexicon.learn([w for p in pieces for w in p]))
             typed.append(np.array(of, np.int32))
     every = [grams(w, SEED_WORDS) for w in words]
-    return Block(np.array(keys, np.int64), words, typed, lexicon, np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64))
+    need = np.array([math.ceil(SAME * len(w) - 1e-9) for w in words], np.int64)
+    return Block(np.array(keys, np.int64), words, typed, lexicon, np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64), need, _holders(words, len(lexicon.known)))
+
+
+def _holders(words: list[np.ndarray], known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not words:
+        return np.zeros(known + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    item = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    entries, times = np.unique(np.concatenate(words).astype(np.int64) * len(words) + item, return_counts=True)
+    word, item = np.divmod(entries, len(words))
+    return np.searchsorted(word, np.arange(known + 1)), item, times
 
 
 def choose_seeds(block: Block, documents: np.ndarray) -> None:
@@ -157,7 +177,7 @@ def align(doc: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 def leaked_items(doc: np.ndarray, block: Block) -> list[int]:
     """Places in the block of the items that a document holds."""
-    if len(doc) < SEED_WORDS or block.seeds is None:
+    if not len(doc) or block.seeds is None:
         return []
     g = grams(doc, SEED_WORDS)
     seq, item, place = block.seeds
@@ -167,24 +187,36 @@ def leaked_items(doc: np.ndarray, block: Block) -> list[int]:
     for at in hits:
         for s in range(low[at], high[at]):
             meets.setdefault(int(item[s]), []).append((int(at), int(place[s])))
-    found = []
-    for i, seeds in meets.items():
-        passage, typed = block.words[i], block.typed[i]
-        if any(longest_run(doc, passage, typed, at, p) >= RUN for at, p in seeds) or _edited_copy(doc, passage, seeds):
-            found.append(i)
-    return found
-
-
-def _edited_copy(doc: np.ndarray, passage: np.ndarray, seeds: list[tuple[int, int]]) -> bool:
-    n, done = len(passage), -1
-    for at, p in sorted(seeds, key=lambda s: s[0] - s[1]):
-        begin = max(0, at - p - n // 3)
-        if at + n - p <= done:  # within the neighbourhood aligned last
+    found = {i for i, seeds in meets.items() if any(longest_run(doc, block.words[i], block.typed[i], at, p) >= RUN for at, p in seeds)}
+    for i in _with_enough_words(doc, block):
+        if i not in found and _edited_copy(doc, block.words[i], int(block.need[i])):
+            found.add(i)
+    return sorted(found)
+
+
+def _with_enough_words(doc: np.ndarray, block: Block) -> list[int]:
+    """Items of which the document has as many words as an edited copy has."""
+    starts, item, times = block.holders
+    words, n = np.unique(doc[doc >= 0], return_counts=True)
+    low, count = starts[words], starts[words + 1] - starts[words]
+    at = np.arange(count.sum()) + np.repeat(low - np.cumsum(count) + count, count)
+    same = np.bincount(item[at], np.minimum(times[at], np.repeat(n, count)), minlength=len(block.need))
+    return np.flatnonzero(same >= block.need).tolist()
+
+
+def _edited_copy(doc: np.ndarray, passage: np.ndarray, need: int) -> bool:
+    n = len(passage)
+    span = int(SPAN * n)
+    before = np.concatenate([[0], np.cumsum(np.isin(doc, passage))])
+    first = np.arange(max(1, len(doc) - span + 1))
+    starts = first[before[np.minimum(first + span, len(doc))] - before[first] >= need]
+    done = -1
+    for begin in starts.tolist():
+        if begin <= done:  # within the neighbourhood aligned last
             continue
-        done = min(len(doc), begin + 2 * n)
-        score, first, past = align(doc[begin:done], passage)
-        # with x exchanged words a copy scores MATCH * (n - x) + MISMATCH * x
-        if past - first >= COVER * n and score >= n * (MATCH * EQUAL + MISMATCH * (1 - EQUAL)):
+        done = begin + span
+        score, start, past = align(doc[begin : done + span], passage)
+        if past - start >= COVER * n and score >= n * LEAST_SCORE:
             return True
     return False
 

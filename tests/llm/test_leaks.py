@@ -85,3 +85,14 @@ def smith_waterman(doc, passage):
 def test_alignment_score_equals_brute_force(doc, passage):
     score, first, past = lk.align(np.array(doc, np.int32), np.array(passage, np.int32))
     assert score == smith_waterman(doc, passage) and 0 <= first <= past <= len(passage)
+
+
+@pytest.mark.parametrize("every", [4, 5, 8, 11])
+def test_single_edited_copy_is_found(spark, every):
+    """No other document raises the counts of the sequences that are left."""
+    assert find(spark, [(1, f"Some words. {exchanged(every)} And more."), (2, "Nothing of it.")], [(7, ITEM)]) == {(1, 7)}
+
+
+def test_edited_copy_without_intact_sequences_and_too_much_edited(spark):
+    with_more = " ".join(w + (" extra" if i % 3 == 2 else "") for i, w in enumerate(WORDS))  # a word after every third
+    assert find(spark, [(1, with_more), (2, exchanged(3))], [(7, ITEM)]) == {(1, 7)}
