@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foliospark import schemas
 from foliospark.operators.corpus import clean_corpus
 
 
-def new_papers(spark: SparkSession, folder: str, watermark: str = "30 days") -> DataFrame:
+def new_papers(spark: SparkSession, folder: str) -> DataFrame:
     """The stream of papers of a folder of JSON-line files; a paper that comes
-    again within the watermark of its update is left out."""
+    again, however late, is left out. The state holds every key seen."""
     stream = spark.readStream.schema(schemas.METADATA).json(folder)
-    seen = stream.withColumn("seen_at", F.coalesce(F.try_to_timestamp("updated", F.lit("yyyy-MM-dd")), F.lit("1970-01-01").cast("timestamp")))
-    return seen.withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark(["arxiv_id"])
+    return stream.dropDuplicates(["arxiv_id"])
 
 
 def ingest_available(spark: SparkSession, folder: str, target: str, checkpoint: str) -> StreamingQuery:

@@ -101,6 +101,16 @@ def test_stream_takes_new_files_and_drops_papers_seen(spark, tmp_path):
     assert rows(spark.read.parquet(target).select("arxiv_id", "title_clean")) == [("a", "t"), ("b", "t"), ("c", "t")]
 
 
+def test_stream_keeps_new_papers_of_any_day(spark, tmp_path):
+    source, target, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    source.mkdir()
+    line = lambda x: json.dumps({"arxiv_id": x[0], "title": "t", "updated": x[1]})
+    for name, papers_in in (("1", [("a", "2024-06-01")]), ("2", [("b", "2024-06-02")]), ("3", [("c", "2001-01-01"), ("d", None), ("e", "1 June 2024"), ("a", "2024-09-01")])):
+        (source / f"{name}.json").write_text("\n".join(map(line, papers_in)))
+        ingest.ingest_available(spark, str(source), target, state).awaitTermination()
+    assert rows(spark.read.parquet(target).select("arxiv_id")) == [("a",), ("b",), ("c",), ("d",), ("e",)]
+
+
 def test_command_line(spark, folder, tmp_path):
     a = cli.parser().parse_args(["ingest", "--query", "q", "--source", "s"])
     assert (a.max_results, a.category, a.download_pdfs, a.output_dir) == (20, None, False, "data/papers")
