@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators import corpus, models, rag, retrieval, topics
+from foliospark.session import materialise
 from foliospark.sources import papers, tables
 
 log = logging.getLogger("foliospark")
@@ -33,40 +34,44 @@ def summarise(store: tables.Store, max_length: int = models.MAX_LENGTH, min_leng
 
 
 def embed(store: tables.Store, model: str = "hashing-64", factory: Callable | None = None) -> DataFrame:
-    """One table with key, ordinal and unit vector: nothing is aligned by place."""
+    """One table with ordinal, key, unit vector and what is shown of a row:
+    nothing is aligned by place, and every row with text has a vector, also
+    where its arxiv_id is missing or stands in several rows."""
     best = store.best_corpus()
     column = corpus.text_column(best)
-    index = corpus.embedding_index(best.dropDuplicates(["arxiv_id"]), ["arxiv_id"], column, model)
-    texts = best.dropDuplicates(["arxiv_id"]).select("arxiv_id", column)
-    tables.write(models.embed(index.join(texts, "arxiv_id"), column, factory=factory).drop(column), store.path("embeddings"))
+    body = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("summary", "abstract_clean", "text_unit") if c in best.columns], F.lit(""))
+    shown = [F.col("title_clean").alias("title"), body.alias("body"), "pdf_url"]
+    rows = corpus.dense_index(corpus.nonempty(best, column).select("arxiv_id", F.col(column).alias("_text"), *shown), ["arxiv_id", "_text"])
+    rows = rows.withColumns({"embedded_text_col": F.lit(column), "embedding_model": F.lit(model)})
+    tables.write(models.embed(rows, "_text", factory=factory).drop("_text"), store.path("embeddings"))
     return store.embeddings()
 
 
 def build_topics(store: tables.Store, n_topics: int = 8, top_terms: int = 10, max_features: int = 20_000, random_state: int = 42) -> tuple[DataFrame, DataFrame]:
-    table, placed = topics.build_topics(store.best_corpus().dropDuplicates(["arxiv_id"]), "arxiv_id", n_topics, top_terms, max_features, random_state)
+    best = materialise(corpus.dense_index(store.best_corpus(), ["arxiv_id", "text_unit"], "_row"), "rows")
+    table, placed = topics.build_topics(best, "_row", n_topics, top_terms, max_features, random_state)
     tables.write(table, store.path("topics"))
-    tables.write(placed, store.path("corpus_with_topics"), partition_by="topic_id")
+    tables.write(placed.drop("_row"), store.path("corpus_with_topics"), partition_by="topic_id")
     return store.topics(), store.corpus_with_topics()
 
 
 def retrieve(store: tables.Store, query: str, k: int = 5, model: str = "hashing-64", factory: Callable | None = None) -> DataFrame:
-    """(arxiv_id, similarity, title, body, pdf_url); no rows for a blank query.
+    """(row_idx, similarity, arxiv_id, title, body, pdf_url); no rows for a blank query.
 
     Raises ValueError where the index was built with another model.
     """
-    spark, index, best = store.spark, store.embeddings(), store.best_corpus().dropDuplicates(["arxiv_id"])
+    spark, index = store.spark, store.embeddings()
     built = index.select("embedding_model").first()
     if built and built[0] != model:
         raise ValueError(f"the index was built with {built[0]}, not {model}")
     if query.strip():
         wanted = models.embed(spark.createDataFrame([(query,)], "q string"), "q", factory=factory).first()["embedding"]
-        hits = retrieval.top_k(index, "arxiv_id", "embedding", list(wanted), k)
+        hits = retrieval.top_k(index, "row_idx", "embedding", list(wanted), k)
     else:
-        hits = index.limit(0).select("arxiv_id", F.lit(0.0).alias("similarity"))
-    body = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("summary", "abstract_clean", "text_unit") if c in best.columns], F.lit(""))
-    shown = best.select("arxiv_id", F.col("title_clean").alias("title"), body.alias("body"), "pdf_url")
-    return hits.join(shown, "arxiv_id")  # k rows; sent to the corpus by their size
+        hits = index.limit(0).select("row_idx", F.lit(0.0).alias("similarity"))
+    shown = index.select("row_idx", "arxiv_id", "title", "body", "pdf_url")
+    return hits.join(shown, "row_idx")  # k rows; sent to the index by their size
 
 
 def answer_question(store: tables.Store, question: str, query: str | None = None, k: int = 5, max_chars: int = rag.MAX_CHARS) -> DataFrame:
-    return rag.answer(retrieve(store, query or question, k), "arxiv_id", question, max_chars)
+    return rag.answer(retrieve(store, query or question, k), "row_idx", question, max_chars)

@@ -82,6 +82,20 @@ def test_pipeline(spark, folder, tmp_path):
     assert "glacier" in r.answer and len(r.sources) == 3
 
 
+def test_rows_with_repeated_and_missing_ids_are_kept(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path / "store"))
+    found = [("1", "comet dust", "tail"), ("1", None, " "), ("1", "comet ice", "core"), (None, "glacier melt", "water"), (None, "desert sand", "dune"), ("2", "ocean salt", "wave")]
+    tables.write(spark.createDataFrame([(*r, None, None, None, None, None) for r in found], schemas.METADATA), store.path("metadata"))
+    best = pipeline.clean(store).selectExpr("*", "if(title_clean = '', ' ', text_unit) as summary")
+    tables.write(best, store.path("corpus_with_summaries"))
+    index = pipeline.embed(store).collect()
+    assert sorted(r.title for r in index) == ["comet dust", "comet ice", "desert sand", "glacier melt", "ocean salt"]
+    assert sorted(r.row_idx for r in index) == list(range(5))
+    _, placed = pipeline.build_topics(store, n_topics=2)
+    assert placed.count() == 5
+    assert pipeline.retrieve(store, "glacier melt water", 1).first().title == "glacier melt"
+
+
 def test_files_that_cannot_be_had_do_not_stop_others(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF")
     df = spark.createDataFrame([("hep/1", str(tmp_path / "a.pdf")), ("2", "https://x.example/b.pdf"), ("3", None)], "arxiv_id string, pdf_url string")
