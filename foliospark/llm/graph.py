@@ -37,8 +37,8 @@ def hot_keys(rows: DataFrame, key: str, block: int) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
-def _meet_hot(rows: DataFrame, hot: DataFrame, key: str, node: str, how: str) -> DataFrame:
-    """``rows`` joined with the hot keys, without a hot key in one task."""
+def meet_hot(rows: DataFrame, hot: DataFrame, key: str, node: str, how: str) -> DataFrame:
+    """``rows`` joined with a table of one row per key, without a hot key in one task."""
     if hot.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
         return rows.join(F.broadcast(hot), key, how)
     salted = hot.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -67,12 +67,12 @@ def bucket_pairs(rows: DataFrame, key: str, node: str, keep: list[str], block: i
     def side(df: DataFrame, s: str, more: list[str]) -> DataFrame:
         return df.select(*[key, *more], *[F.col(c).alias(f"{c}_{s}") for c in cols])
 
-    cold = rows if hot is None else _meet_hot(rows, hot.select(key), key, node, "left_anti")
+    cold = rows if hot is None else meet_hot(rows, hot.select(key), key, node, "left_anti")
     cold = cold.where(F.col(key).isNotNull() & F.col(node).isNotNull()).repartition(key).dropDuplicates([key, node])
     pairs = side(cold, "a", []).join(side(cold, "b", []), key).where(f"{node}_a < {node}_b")
     if hot is None:
         return pairs.drop(key)
-    met = _blocked(_meet_hot(rows, hot, key, node, "inner").dropDuplicates([key, node]), node, block)
+    met = _blocked(meet_hot(rows, hot, key, node, "inner").dropDuplicates([key, node]), node, block)
     met = met.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
     met = met.withColumns({"_lo": F.least("_b", "_o"), "_hi": F.greatest("_b", "_o")})
     a, b = side(met, "a", ["_lo", "_hi", "_b"]), side(met, "b", ["_lo", "_hi", "_b"]).withColumnRenamed("_b", "_c")
@@ -87,9 +87,9 @@ def block_join(left: DataFrame, right: DataFrame, key: str, left_node: str, righ
     hot = hot_keys(right.select(key), key, block)
     if hot is None:
         return left.join(right, key)
-    cold = _meet_hot(left, hot.select(key), key, left_node, "left_anti").join(_meet_hot(right, hot.select(key), key, right_node, "left_anti"), key)
-    a = _blocked(_meet_hot(left, hot, key, left_node, "inner"), left_node, block).withColumnRenamed("_b", "_i")
-    b = _blocked(_meet_hot(right, hot, key, right_node, "inner"), right_node, block).withColumnRenamed("_b", "_j")
+    cold = meet_hot(left, hot.select(key), key, left_node, "left_anti").join(meet_hot(right, hot.select(key), key, right_node, "left_anti"), key)
+    a = _blocked(meet_hot(left, hot, key, left_node, "inner"), left_node, block).withColumnRenamed("_b", "_i")
+    b = _blocked(meet_hot(right, hot, key, right_node, "inner"), right_node, block).withColumnRenamed("_b", "_j")
     every = F.explode(F.sequence(F.lit(0), F.col("_g") - 1))
     a, b = a.withColumn("_j", every).drop("_g", "_n"), b.withColumn("_i", every).drop("_g", "_n")
     return cold.unionByName(a.join(b, [key, "_i", "_j"]).drop("_i", "_j"))

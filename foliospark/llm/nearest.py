@@ -14,9 +14,9 @@ vector (the squared distance to the slots' borders). Candidates are screened in
 single precision and reranked by exact cosine in double precision; the tables'
 answers are merged per query.
 
-A cell that has more than ``cell_rows`` rows is cut into blocks and its queries
-are sent to every block, so nothing is left out and no task holds a whole hot
-cell. A vector that stands in more than ``HEAVY`` rows is indexed by its k + 1
+A cell that keeps or is visited by more than ``cell_rows`` rows is cut into blocks
+of kept rows and blocks of queries; each pair of blocks is a group of its own, so
+nothing is left out and no task holds a whole hot cell. A vector that stands in more than ``HEAVY`` rows is indexed by its k + 1
 smallest rows; that is enough for any query, and its other rows are answered
 directly.
 
@@ -29,20 +29,25 @@ At equal similarity (9 decimals) the smaller key wins. Repeated rows count once.
 from __future__ import annotations
 
 import gc
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.llm.graph import meet_hot
 from foliospark.session import materialise
 
 K = 5
 TABLES = 4
 CELL_TARGET = 24_000
-CELL_ROWS = 80_000
+CELL_ROWS = 40_000
+#: Rows that a task of the search is given on average.
+TASK_ROWS = 30_000
 HEAVY = 64
 COARSE_W, FINE_W = 2.5, 2.0
 #: ln(1 / chance that two unlike unit vectors share a hash) at these widths
@@ -94,8 +99,9 @@ def _equal_vectors(x: np.ndarray) -> np.ndarray:
         return ((x + np.float32(0)).view(np.int32).astype(np.int64) * r).sum(axis=1)
 
 
-def coarse_hashes(n: int) -> int:
-    return min(64, max(0, math.ceil(math.log(max(1, n) / CELL_TARGET) / COARSE_LOG))) if n > CELL_TARGET else 0
+def coarse_hashes(n: int, cell_target: int = CELL_TARGET) -> int:
+    """Hashes that leave about ``cell_target`` of ``n`` vectors in a cell."""
+    return min(64, math.ceil(math.log(n / cell_target) / COARSE_LOG)) if n > cell_target else 0
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -162,9 +168,13 @@ def cells_to_visit(fracs: list[np.ndarray], rs: list[np.ndarray], most: int = 15
     return found
 
 
-def _cells(tables: int, sizes_only: bool = False, only: int | None = None):
-    """One row per vector and cell it is kept in or visits (``own`` tells), of all
-    tables or ``only`` one; or (cell, rows kept) per batch."""
+def _model_tag(name: str) -> np.int64:
+    return np.int64(int.from_bytes(hashlib.blake2b(name.encode("utf-8"), digest_size=8).digest(), "little", signed=True))
+
+
+def _placed(tables: int, cell_target: int = CELL_TARGET):
+    """Adds to each vector the cell of each table it is kept in (``own``) and the
+    other cells it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,39 +182,34 @@ def _cells(tables: int, sizes_only: bool = False, only: int | None = None):
                 continue
             names = batch.column("model").dictionary_encode()
             for m, name in enumerate(names.dictionary.to_pylist()):
-                at = np.flatnonzero(names.indices.to_numpy() == m)
-                part = batch.take(pa.array(at))
-                vec, n = part.column("vec"), part.column("n")[0].as_py()
-                x = _unit(vec.flatten().to_numpy().reshape(len(at), -1)).astype(np.float32)
-                tag = np.int64(int.from_bytes(name.encode("utf-8")[:4096], "little") % (2**61 - 1))
+                part = batch.take(pa.array(np.flatnonzero(names.indices.to_numpy() == m)))
+                size, vec, n = part.num_rows, part.column("vec"), part.column("n")[0].as_py()
+                x = _unit(vec.flatten().to_numpy().reshape(size, -1)).astype(np.float32)
                 sums, fracs, rs = [], [], []
                 for t in range(tables):
-                    a, b, r = _random(x.shape[1], t, 0, coarse_hashes(n), COARSE_W)
+                    a, b, r = _random(x.shape[1], t, 0, coarse_hashes(n, cell_target), COARSE_W)
                     place = x @ a.T + b
                     code = np.floor(place)
                     with np.errstate(over="ignore"):
                         sums.append((code.astype(np.int64) * r).sum(axis=1))
                     fracs.append(place - code)
                     rs.append(r)
-                visits = None if sizes_only else cells_to_visit(fracs, rs)
-                for t in range(tables) if only is None else [only]:
-                    rows = np.arange(len(at)) if sizes_only else np.concatenate([np.arange(len(at)), visits[t][0]])
+                tag = _model_tag(name)
+
+                def cell(total: np.ndarray, t: int, tag: np.int64 = tag) -> np.ndarray:
                     with np.errstate(over="ignore"):
-                        total = sums[t] if sizes_only else np.concatenate([sums[t], sums[t][visits[t][0]] + visits[t][1]])
-                        cell = total * np.int64(0x5851F42D4C957F2D) + tag * np.int64(31) + np.int64(t)
-                    cell = (cell & ~np.int64(TABLE_BITS)) | np.int64(t)  # the table can be read off a cell
-                    if sizes_only:
-                        found, count = np.unique(cell, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count)], names=["cell", "n"])
-                        continue
-                    own = np.arange(len(rows)) < len(at)
-                    for i in range(0, len(rows), 10_000):
-                        some = pa.array(rows[i : i + 10_000])
-                        sent = vec.take(some)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(cell[i : i + 10_000]), part.column("id").take(some), sent, pa.array(own[i : i + 10_000])],
-                            schema=pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("vec", sent.type), ("own", pa.bool_())]),
-                        )
+                        c = total * np.int64(0x5851F42D4C957F2D) + tag * np.int64(31) + np.int64(t)
+                    return (c & ~np.int64(TABLE_BITS)) | np.int64(t)  # the table can be read off a cell
+
+                own = np.stack([cell(sums[t], t) for t in range(tables)], axis=1)
+                visits = cells_to_visit(fracs, rs)
+                rows = np.concatenate([v[0] for v in visits])
+                with np.errstate(over="ignore"):
+                    others = np.concatenate([cell(sums[t][v[0]] + v[1], t) for t, v in enumerate(visits)])
+                order = np.argsort(rows, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=size))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, tables, dtype=np.int32)), pa.array(own.ravel())), pa.ListArray.from_arrays(pa.array(ends), pa.array(others[order]))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), vec, *lists], names=["id", "vec", "own", "visits"])
 
     return run
 
@@ -302,15 +307,17 @@ def _search(k: int):
         ids = table.column("id").to_numpy()
         x = table.column("vec").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         data = table.column("own").to_numpy()
+        query = np.ones(len(ids), bool)
         order = np.lexsort((~data, ids))
         first = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]  # repeated rows count once
         if len(first) < len(ids):
             table = table.take(pa.array(first))
-            ids, x, data = ids[first], x[first], data[first]
-        if "block" in table.column_names:
-            data = data & (table.column("block").to_numpy() == table.column("home").to_numpy())
+            ids, x, data, query = ids[first], x[first], data[first], query[first]
+        if "blocks" in table.column_names:
+            at = {c: pc.struct_field(table.column("blocks"), c).to_numpy() for c in ("d", "q")}
+            data, query = data & (at["d"] == table.column("home_d").to_numpy()), at["q"] == table.column("home_q").to_numpy()
         tab = table.column("cell")[0].as_py() & TABLE_BITS
-        q, rows, sims = search_cell(ids, _equal_vectors(x), x, data, np.ones(len(ids), bool), tab, k)
+        q, rows, sims = search_cell(ids, _equal_vectors(x), x, data, query, tab, k)
         ok = rows >= 0
         offsets = np.concatenate([[0], np.cumsum(ok.sum(axis=1))]).astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for v in (ids[rows[ok]], np.rint(sims[ok] * UNITS).astype(np.int32))]
@@ -319,7 +326,7 @@ def _search(k: int):
     return run
 
 
-def nearest(df: DataFrame, key: str, model: str, vector: str, k: int = K, tables: int = TABLES, cell_rows: int = CELL_ROWS) -> DataFrame:
+def nearest(df: DataFrame, key: str, model: str, vector: str, k: int = K, tables: int = TABLES, cell_rows: int = CELL_ROWS, cell_target: int = CELL_TARGET) -> DataFrame:
     """(q, c, similarity, rank): for each usable row its k most similar rows."""
     spark = df.sparkSession
     rows = usable_vectors(df, key, model, vector).withColumn("vh", F.xxhash64("model", "vec"))
@@ -334,17 +341,32 @@ def nearest(df: DataFrame, key: str, model: str, vector: str, k: int = K, tables
     of_rest = rest.join(heads, "vh").select(F.col("id").alias("q"), "c", F.lit(1.0).alias("similarity"), "rank")
 
     index = rows.join(rest.select("id"), "id", "left_anti") if not first.isEmpty() else rows
-    sizes = index.mapInArrow(_cells(tables, sizes_only=True), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    large = materialise(sizes.where(F.col("n") > cell_rows).select("cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("g")), "cells")
-    in_blocks = not large.isEmpty()
+    placed = materialise(index.mapInArrow(_placed(tables, cell_target), "id bigint, vec array<float>, own array<bigint>, visits array<bigint>"), "placed")
+    entries = placed.select(F.explode("own").alias("cell"), F.lit(1).alias("kept")).unionByName(placed.select(F.explode("visits").alias("cell"), F.lit(0).alias("kept")))
+    sizes = entries.groupBy("cell").agg(F.sum("kept").alias("kept"), F.count(F.lit(1)).alias("asked")).where("kept > 0")
+    blocks = lambda c: F.ceil(F.col(c) / cell_rows).cast("int")
+    sizes = materialise(sizes.select("cell", blocks("kept").alias("gd"), blocks("asked").alias("gq"), "asked"), "cells")
+    in_blocks = not sizes.where("gd > 1 or gq > 1").limit(1).isEmpty()
     found = None
     for t in range(tables):
-        cells = index.mapInArrow(_cells(tables, only=t), "cell bigint, id bigint, vec array<float>, own boolean")
+        of_table = F.pmod(F.col("cell"), F.lit(TABLE_BITS + 1)) == t
+        kept = F.array(F.struct(F.col("own")[t].alias("cell"), F.lit(True).alias("own")))
+        asked = F.transform(F.filter("visits", lambda c: F.pmod(c, F.lit(TABLE_BITS + 1)) == t), lambda c: F.struct(c.alias("cell"), F.lit(False).alias("own")))
+        cells = placed.select("id", "vec", F.explode(F.concat(kept, asked)).alias("e")).select("e.cell", "id", "vec", "e.own")
+        here = sizes.where(of_table)
+        tasks = max(1, math.ceil((here.agg(F.sum(F.col("asked") * F.greatest("gd", F.lit(1)))).first()[0] or 0) / TASK_ROWS))
+        # a visit to a cell that keeps nothing ends here
+        cells = meet_hot(cells, here.drop("asked"), "cell", "id", "inner")
         group = ["cell"]
         if in_blocks:
-            group = ["cell", "block"]
-            cells = cells.join(large, "cell", "left").withColumn("g", F.coalesce("g", F.lit(1)))
-            cells = cells.withColumn("home", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).drop("g")
+            group = ["cell", "blocks"]
+            home = lambda g, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(g)).cast("int")
+            cells = cells.withColumns({"home_d": home("gd", 1), "home_q": home("gq", 2)})
+            pair = lambda d, q: F.struct(d.alias("d"), q.alias("q"))
+            as_data = F.when(F.col("own"), F.transform(F.sequence(F.lit(0), F.col("gq") - 1), lambda q: pair(F.col("home_d"), q))).otherwise(F.array().cast("array<struct<d:int,q:int>>"))
+            as_query = F.transform(F.sequence(F.lit(0), F.col("gd") - 1), lambda d: pair(d, F.col("home_q")))
+            cells = cells.withColumn("blocks", F.explode(F.array_distinct(F.concat(as_data, as_query))))
+        cells = cells.drop("gd", "gq").repartition(max(tasks, spark.sparkContext.defaultParallelism), *group)
         part = materialise(cells.groupBy(*group).applyInArrow(_search(k), "q bigint, c array<bigint>, s array<int>"), "near")
         found = part if found is None else found.unionByName(part)
         del cells

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,46 +91,69 @@ def test_cells_in_blocks_lose_nothing(spark):
     assert {(min(r.q, r.c), max(r.q, r.c)) for r in got.collect()} == brute(rows)
 
 
-def test_recall_with_cells_and_buckets(spark, monkeypatch):
-    monkeypatch.setattr(nn, "CELL_TARGET", 600)
-    monkeypatch.setattr(nn, "BUCKET_TARGET", 32)
-    rows = clustered(4000, 24, 100)
-    x = np.array([r[2] for r in rows])
-    assert nn.coarse_hashes(len(x)) == nn.coarse_hashes(4000)
-    found = [(b.column(0).to_numpy()) for b in _cells_of(rows)]
-    assert len(np.unique(np.concatenate(found))) > nn.TABLES
-    found, expected = set(), brute(rows)
-    found = _search_locally(rows)
-    assert len(found & expected) >= 0.9 * len(expected)
+def test_groups_are_bounded(spark):
+    """Neither kept rows nor queries of a group go far beyond a block."""
+    rows = clustered(1000, 8, 1000)
+    search = nn._search
 
+    def counting(k):
+        def counted(table):
+            return pa.table({"q": [table.num_rows], "c": [[table.num_rows]], "s": [[1]]}, schema=nn.FOUND)
 
-def _cells_of(rows):
-    import pyarrow as pa
+        return counted
+
+    nn._search = counting
+    try:
+        found = nn.nearest(table(spark, rows), "row_idx", "embedding_model", "vector", cell_rows=100)
+        sizes = [r.q for r in found.select("q").distinct().collect()]
+    finally:
+        nn._search = search
+    assert sizes and max(sizes) <= 2 * 100 * 1.5
 
-    x = pa.array([r[2] for r in rows], pa.list_(pa.float32()))
-    ids = pa.array([r[0] for r in rows], pa.int64())
-    batch = pa.RecordBatch.from_arrays([ids, pa.array(["m"] * len(rows)), x, pa.array([len(rows)] * len(rows))], names=["id", "model", "vec", "n"])
-    return list(nn._cells(nn.TABLES)(iter([batch])))
 
+def test_many_coarse_hashes_through_spark(spark):
+    rows = clustered(1200, 16, 60)
+    assert nn.coarse_hashes(len(rows), 1) >= 14
+    got = nn.nearest(table(spark, rows), "row_idx", "embedding_model", "vector", cell_target=1, cell_rows=50)
+    found, expected = {(min(r.q, r.c), max(r.q, r.c)) for r in got.collect()}, brute(rows)
+    assert len(found & expected) >= 0.9 * len(expected)
 
-def _search_locally(rows):
-    import pyarrow as pa
 
-    table = pa.Table.from_batches(_cells_of(rows))
-    cells = table.column("cell").to_numpy()
+def _search_locally(rows, cell_target):
+    x = pa.array([r[2] for r in rows], pa.list_(pa.float32()))
+    ids = pa.array([r[0] for r in rows], pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(["m"] * len(rows)), x, pa.array([len(rows)] * len(rows))], names=["id", "model", "vec", "n"])
+    (placed,) = nn._placed(nn.TABLES, cell_target)(iter([batch]))
+    members = {}
+    for i, (own, visits) in enumerate(zip(placed.column("own").to_pylist(), placed.column("visits").to_pylist(), strict=True)):
+        for c, kept in [*((c, True) for c in own), *((c, False) for c in visits)]:
+            members.setdefault(c, []).append((i, kept))
+    assert len(members) > nn.TABLES
     best: dict[int, set] = {}
-    for c in np.unique(cells):
-        out = nn._search(5)(table.filter(pa.array(cells == c)))
+    for c, found in members.items():
+        at = pa.array([i for i, _ in found])
+        group = pa.table({"cell": pa.array([c] * len(found)), "id": ids.take(at), "vec": x.take(at), "own": pa.array([kept for _, kept in found])})
+        out = nn._search(5)(group)
         for q, near, sims in zip(out.column("q").to_pylist(), out.column("c").to_pylist(), out.column("s").to_pylist(), strict=True):
             best.setdefault(q, set()).update(zip([-s for s in sims], near, strict=True))
     return {(min(q, c), max(q, c)) for q, near in best.items() for _, c in sorted(near)[:5]}
 
 
+def test_recall_with_cells_and_buckets(monkeypatch):
+    monkeypatch.setattr(nn, "BUCKET_TARGET", 32)
+    rows = clustered(4000, 24, 100)
+    expected = brute(rows)
+    assert len(_search_locally(rows, 600) & expected) >= 0.9 * len(expected)
+
+
 @pytest.mark.parametrize("target", [2000, 300, 60])
 def test_recall_does_not_fall_with_coarse_hashes(monkeypatch, target):
-    monkeypatch.setattr(nn, "CELL_TARGET", target)
     monkeypatch.setattr(nn, "BUCKET_TARGET", 10_000)  # a cell is searched whole
     rows = clustered(4000, 24, 200)
-    assert nn.coarse_hashes(4000) >= 2
+    assert nn.coarse_hashes(4000, target) >= 2
     expected = brute(rows)
-    assert len(_search_locally(rows) & expected) >= 0.985 * len(expected)
+    assert len(_search_locally(rows, target) & expected) >= 0.985 * len(expected)
+
+
+def test_long_names_of_models_have_cells_of_their_own():
+    assert nn._model_tag("a" * 5000 + "b") != nn._model_tag("a" * 5000 + "c")
