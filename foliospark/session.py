@@ -32,6 +32,15 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/foliospark/{name}-{uuid.uuid4().hex}"
 
 
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A new path that is deleted when the driver ends."""
+    path = new_table_path(spark, name)
+    at, files = _hadoop(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
 def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
