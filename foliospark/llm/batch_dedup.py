@@ -1,17 +1,21 @@
 """Problem 2: new batches against all history.
 
-What has been accepted is kept in a shared folder as tables that are only added
-to: ``accepted`` (a row per record: keys of the article and the text, the day,
-the words of new texts), ``runs`` (sorted-neighbourhood keys of the texts, each
-run range-partitioned and sorted by key), and ``links`` found so far. A batch is
-read once; its keys are merged with the key runs, and only the neighbours of new
-records in key order, ``window`` to either side within equal keys, are compared.
-When there are more than ``max_runs`` runs they are merged into one.
+What has been accepted lives in a folder, and a manifest in it names its tables,
+so that another session can go on: ``records`` (a row per record: keys of the
+article and the text, the day), ``texts`` (words of each text), ``runs``
+(sorted-neighbourhood keys of the texts) and ``links`` between texts. Runs and
+texts are kept in ranges of their key, sorted, with more ranges the more rows
+they have. A batch is read once; of a run only the ranges that its keys fall into
+are read, and of those only the equal keys are shuffled. The window around a new
+record is the run of equal keys it falls into; a run of very many keys is met in
+blocks. Words of old texts are read for the candidates' ranges only. A batch adds
+a run of its own; when there are more than ``max_runs``, the smaller ones are
+merged, so that a key is rewritten a number of times that grows with the logarithm
+of the history.
 
 Keys: the article's id (equal keys are the same paper), the normalised text
-(likewise), and ten Order MinHash keys of the text, whose neighbours are kept
-where the exact share of common three-word sequences reaches the threshold.
-Large groups of equal keys are chained, never paired off.
+(likewise), and Order MinHash keys of the text, whose neighbours are kept where
+the exact share of common three-word sequences reaches the threshold.
 
 Defined results: a null, blank or unreadable id matches nothing; a record with
 neither id nor text is a paper of its own; a day that no calendar has is
@@ -21,20 +25,25 @@ nothing.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.graph import connected_components
+from foliospark.llm.graph import block_join, connected_components
 from foliospark.llm.near_duplicates import LEAST_FIELDS, THRESHOLD, agreeing_fields, record_text, sketcher, verify
 from foliospark.llm.words import normalised, word_hashes
-from foliospark.session import drop_table, materialise, new_table_path
+from foliospark.session import drop_table, materialise, names_in, new_table_path, read_text, temporary_path, write_new_text
 
-GRAM, ELL, KEYS, WINDOW = 5, 2, 10, 8
+GRAM, ELL, KEYS, BLOCK = 5, 2, 10, 512
 #: Rows of one paper are ordered in chunks of so many record_ids.
 CHUNK = 1 << 16
+#: Rows that a range of a run or of the texts has on average, and the most ranges.
+RANGE_ROWS, MOST_BITS = 50_000, 14
 
-ACCEPTED = "id bigint, ik bigint, tx bigint, day date, fp bigint, keys array<bigint>, words array<int>"
-RUN = "key bigint, tx bigint, fp bigint"
+SKETCHED = "id bigint, ik bigint, tx bigint, day date, fp bigint, keys array<bigint>, words array<int>"
+RECORDS, RUN, TEXTS, LINKS = "id bigint, ik bigint, tx bigint, day date", "key bigint, tx bigint, fp bigint", "tx bigint, words array<int>", "a bigint, b bigint"
 
 
 def article_id(c: Column) -> Column:
@@ -54,14 +63,57 @@ def day_of(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)).cast("date") for x, f in formats])
 
 
-class History:
-    """Accepted records, their key runs and the links among them."""
+def _range(key: str | Column, bits: int) -> Column:
+    """The number of a key's range, of 2 ** bits ranges."""
+    return F.shiftrightunsigned(F.col(key) if isinstance(key, str) else key, 64 - bits).cast("int") if bits else F.lit(0)
+
 
-    def __init__(self, spark: SparkSession, threshold: float = THRESHOLD, window: int = WINDOW, max_runs: int = 4):
-        self.spark, self.threshold, self.window, self.max_runs = spark, threshold, window, max_runs
-        self.accepted: list[DataFrame] = []
-        self.runs: list[tuple[str, DataFrame]] = []
-        self.links: list[DataFrame] = []
+class History:
+    """Accepted records, their key runs and the links among them, in a folder."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, threshold: float = THRESHOLD, max_runs: int = 4, range_rows: int = RANGE_ROWS):
+        self.spark, self.threshold, self.max_runs, self.range_rows = spark, threshold, max_runs, range_rows
+        self.path = (path or temporary_path(spark, "history")).rstrip("/")
+        self.version, self.tables = 0, {"records": [], "texts": [], "runs": [], "links": []}
+        kept = [n for n in names_in(spark, self.path) if n.startswith("manifest-") and n.endswith(".json")]
+        if kept:
+            self.version = int(max(kept)[len("manifest-") : -len(".json")])
+            self.tables = json.loads(read_text(spark, f"{self.path}/{max(kept)}"))
+
+    def _commit(self) -> None:
+        """Name the tables as they are now; a reader sees all of a batch or nothing."""
+        self.version += 1
+        write_new_text(self.spark, f"{self.path}/manifest-{self.version:09d}.json", json.dumps(self.tables))
+
+    def _write(self, kind: str, df: DataFrame, key: str | None = None, rows: int = 0) -> None:
+        """Add a table; with a key, in sorted ranges."""
+        entry = {"name": f"{kind}-{self.version + 1:09d}-{len(self.tables[kind])}", "rows": rows, "bits": 0}
+        if key:
+            per_range = max(1, self.range_rows if kind == "runs" else self.range_rows // KEYS)
+            entry["bits"] = bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(1, rows) / per_range))))
+            # a range that a hot key makes large is split, small ones share a task
+            ranged = df.withColumn("range", _range(key, bits)).hint("rebalance", F.col("range"))
+            ranged.sortWithinPartitions("range", *[c for c in df.columns if c != "words"]).write.partitionBy("range").parquet(f"{self.path}/{entry['name']}")
+        else:
+            df.write.parquet(f"{self.path}/{entry['name']}")
+        self.tables[kind].append(entry)
+
+    def _read(self, kind: str, schema: str, touched: set[int] | None = None) -> DataFrame:
+        """All tables of a kind; of ranged ones only the ranges that hold any of the
+        ``touched`` numbers, which are those of 2 ** MOST_BITS ranges."""
+        out = self.spark.createDataFrame([], schema)
+        for entry in self.tables[kind]:
+            ranged = kind in ("runs", "texts")
+            df = self.spark.read.schema(schema + (", range int" if ranged else "")).parquet(f"{self.path}/{entry['name']}")
+            if ranged and touched is not None:
+                here = sorted({t >> (MOST_BITS - entry["bits"]) for t in touched})
+                df = df.where(F.col("range").isin(here)) if len(here) < 2 ** entry["bits"] else df
+            out = out.unionByName(df.drop("range") if ranged else df)
+        return out
+
+    def _touched(self, df: DataFrame, key: str) -> set[int]:
+        """At most 2 ** MOST_BITS numbers of ranges."""
+        return {r[0] for r in df.select(_range(key, MOST_BITS).alias("r")).distinct().collect()}
 
     def ingest(self, batch: DataFrame) -> None:
         """Accept a batch: (record_id, arxiv_id, title, summary, updated)."""
@@ -70,56 +122,70 @@ class History:
             F.col("record_id").cast("bigint").alias("id"), F.xxhash64(F.lit("id"), article_id(F.col("arxiv_id"))).alias("ik"), article_id(F.col("arxiv_id")).isNotNull().alias("has"), day_of(F.col("updated")).alias("day"), F.nullif(normalised(usable), F.lit("")).alias("norm")
         )
         rows = rows.select("id", F.when(F.col("has"), F.col("ik")).alias("ik"), F.when(F.col("norm").isNotNull(), F.xxhash64("norm")).alias("tx"), "day", word_hashes(F.col("norm")).alias("words"))
-        table = materialise(rows.mapInArrow(sketcher(GRAM, ELL, KEYS, ["id", "ik", "tx", "day"]), ACCEPTED), "accepted")
-        self.accepted.append(table)
-        new = table.where("keys is not null").select(F.explode("keys").alias("key"), "tx", "fp", F.lit(True).alias("new"))
-        old = [r.select("key", "tx", "fp", F.lit(False).alias("new")) for _, r in self.runs]
-        for r in old:
-            new = new.unionByName(r)
-        merged = new.repartitionByRange("key").groupBy("key", "tx").agg(F.first("fp").alias("fp"), F.min("new").alias("new"))
-        order = Window.partitionBy("key").orderBy("fp", "tx")
-        near = [F.struct(*[F.lag(c, i).over(order).alias(c) for c in ("tx", "fp", "new")]) for i in range(1, self.window + 1)]
-        merged = merged.withColumn("near", F.array(*near))
-        worth = F.filter("near", lambda x: x["tx"].isNotNull() & (F.col("new") | x["new"]) & (agreeing_fields(x["fp"], F.col("fp")) >= LEAST_FIELDS))
-        merged = merged.withColumn("near", F.transform(worth, lambda x: x["tx"])).where("new or size(near) > 0")
-        path = new_table_path(self.spark, "run")
-        merged.write.parquet(path)
-        run = self.spark.read.schema(RUN + ", new boolean, near array<bigint>").parquet(path)
-        pairs = run.select("tx", F.explode("near").alias("o")).select(F.least("tx", "o").alias("a"), F.greatest("tx", "o").alias("b")).distinct()
-        self.runs.append((path, run.where("new").select("key", "tx", "fp")))
-        words = self._all().where("words is not null").select("tx", "words")
-        self.links.append(materialise(verify(pairs, words, self.threshold).select("a", "b"), "links"))
-        if len(self.runs) > self.max_runs:
+        path = new_table_path(self.spark, "batch")
+        table = materialise(rows.mapInArrow(sketcher(GRAM, ELL, KEYS, ["id", "ik", "tx", "day"]), SKETCHED), "batch", path)
+        counted = table.agg(F.count(F.lit(1)), F.count("keys")).first()
+        if not counted[0]:
+            return
+        texts = table.where("keys is not null").select("tx", "words")
+        keys = table.where("keys is not null").select(F.explode("keys").alias("key"), "tx", "fp")
+        new = keys.dropDuplicates(["key", "tx"]).withColumn("new", F.lit(True))
+        if self.tables["runs"]:
+            old = self._read("runs", RUN, self._touched(keys, "key"))
+            old = old.join(keys.select("key").distinct(), "key", "left_semi").withColumn("new", F.lit(False))
+            # a text seen before is not new
+            new = new.unionByName(old).groupBy("key", "tx").agg(F.first("fp").alias("fp"), F.min("new").alias("new"))
+        met_path = new_table_path(self.spark, "met")
+        met = materialise(new, "met", met_path)
+        fresh = met.where("new").select("key", F.col("tx").alias("a"), F.col("fp").alias("fp_a"))
+        pairs = block_join(fresh, met.select("key", F.col("tx").alias("b"), F.col("fp").alias("fp_b"), "new"), "key", "a", "b", BLOCK)
+        pairs = pairs.where("a != b and (a < b or not new)").where(agreeing_fields(F.col("fp_a"), F.col("fp_b")) >= LEAST_FIELDS)
+        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        words = texts
+        if self.tables["texts"]:
+            asked = pairs.select(F.explode(F.array("a", "b")).alias("tx")).distinct()
+            words = words.unionByName(self._read("texts", TEXTS, self._touched(asked, "tx")).join(asked, "tx", "left_semi"))
+        self._write("links", verify(pairs, words, self.threshold).select("a", "b"))
+        self._write("records", table.select("id", "ik", "tx", "day"), rows=counted[0])
+        self._write("texts", texts, "tx", counted[1])
+        self._write("runs", met.where("new").select("key", "tx", "fp"), "key", counted[1] * KEYS)
+        self._commit()
+        for done in (path, met_path):
+            drop_table(self.spark, done)
+        if len(self.tables["runs"]) > self.max_runs:
             self.compact()
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        if not self.runs:
-            return
-        whole = self.runs[0][1]
-        for _, r in self.runs[1:]:
-            whole = whole.unionByName(r)
-        path = new_table_path(self.spark, "run")
-        whole.repartitionByRange("key").dropDuplicates(["key", "tx"]).sortWithinPartitions("key", "fp", "tx").write.parquet(path)
-        for old, _ in self.runs:
-            drop_table(self.spark, old)
-        self.runs = [(path, self.spark.read.schema(RUN).parquet(path))]
-
-    def _all(self) -> DataFrame:
-        whole = self.accepted[0]
-        for t in self.accepted[1:]:
-            whole = whole.unionByName(t)
-        return whole
+        """Merge the smaller runs, and texts likewise: as many as together are no
+        larger than the next one, two at least."""
+        stale = []
+        for kind, schema, key in (("runs", RUN, "key"), ("texts", TEXTS, "tx")):
+            by_size = sorted(self.tables[kind], key=lambda e: e["rows"])
+            n, total = 0, 0
+            while n < len(by_size) and (n < 2 or by_size[n]["rows"] <= total):
+                total += by_size[n]["rows"]
+                n += 1
+            if n < 2:
+                continue
+            rest = by_size[n:]
+            self.tables[kind] = by_size[:n]
+            stale += by_size[:n]
+            whole = self._read(kind, schema).dropDuplicates([c for c in ("key", "tx") if c in schema])
+            self.tables[kind] = rest
+            self._write(kind, whole, key, total)
+        if stale:
+            self._commit()
+            for entry in stale:
+                drop_table(self.spark, f"{self.path}/{entry['name']}")
 
     def papers(self) -> DataFrame:
         """(id, first_id, day) of every accepted record."""
-        rows = self._all().select("id", "ik", "tx", "day").dropDuplicates(["id"])
+        rows = self._read("records", RECORDS).dropDuplicates(["id"])
         of_id = rows.where("ik is not null").groupBy("ik").agg(F.min("id").alias("first"))
         of_text = rows.where("tx is not null").groupBy("tx").agg(F.min("id").alias("first"))
         edges = rows.join(of_id, "ik").select("id", "first").unionByName(rows.join(of_text, "tx").select("id", "first")).where("id != first")
-        for links in self.links:
-            a = links.join(of_text.select(F.col("tx").alias("a"), F.col("first").alias("id")), "a")
-            edges = edges.unionByName(a.join(of_text.select(F.col("tx").alias("b"), "first"), "b").select("id", "first"))
+        a = self._read("links", LINKS).join(of_text.select(F.col("tx").alias("a"), F.col("first").alias("id")), "a")
+        edges = edges.unionByName(a.join(of_text.select(F.col("tx").alias("b"), "first"), "b").select("id", "first"))
         linked = connected_components(edges, "id", "first")
         out = rows.select("id", "day").join(linked.withColumnRenamed("node", "id"), "id", "left")
         return out.select("id", F.coalesce("root", "id").alias("first_id"), "day")
@@ -150,8 +216,9 @@ def arrivals(papers: DataFrame, parts: int) -> list[DataFrame]:
     return out
 
 
-def find_repeats(papers: DataFrame, parts: int = 2) -> DataFrame:
-    history = History(papers.sparkSession)
+def find_repeats(papers: DataFrame, parts: int = 4) -> DataFrame:
+    """The table's batches as ``parts`` arrivals, one after the other."""
+    history = History(papers.sparkSession, max_runs=2)
     for batch in arrivals(papers, parts):
         history.ingest(batch)
     return history.repeats()

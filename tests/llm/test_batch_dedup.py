@@ -64,11 +64,45 @@ def test_batch_by_batch_with_compaction(spark):
     df = table(spark)
     for b in (0, 1, 2, 3):
         history.ingest(df.where(F.coalesce("batch_no", F.lit(0)) == b))
-    assert len(history.runs) == 1
+    assert len(history.tables["runs"]) == 1
+    version = history.version
     history.ingest(df.limit(0))
+    assert history.version == version
     assert {tuple(r) for r in history.repeats().collect()} == EXPECTED
 
 
+def test_another_session_goes_on(spark, tmp_path):
+    df = table(spark)
+    bd.History(spark, f"file://{tmp_path}/h").ingest(df.where("batch_no < 2"))
+    bd.History(spark, f"file://{tmp_path}/h").ingest(df.where("batch_no >= 2 or batch_no is null"))
+    assert {tuple(r) for r in bd.History(spark, f"file://{tmp_path}/h").repeats().collect()} == EXPECTED
+
+
+def test_what_a_batch_reads_does_not_grow_with_the_history(spark):
+    word = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    text = lambda i: " ".join(f"{word[(i + j) % 10]}{(i * 7919 + j * j) % 9973}" for j in range(30))
+    read = []
+    for n in (200, 2000):
+        rows = [(i, 0, None, "t", text(i), None) for i in range(n)]
+        history = bd.History(spark, range_rows=100)
+        history.ingest(table(spark, rows))
+        one = table(spark, [(9999, 1, None, "t", text(5) + " more", None)])
+        before = {kind: [] for kind in ("runs", "texts")}
+        plain = history._read
+
+        def counted(kind, schema, touched=None, plain=plain, before=before):
+            df = plain(kind, schema, touched)
+            if touched is not None:
+                before[kind].append(df.count())
+            return df
+
+        history._read = counted
+        history.ingest(one)
+        read.append({k: sum(v) for k, v in before.items()})
+        assert (5, 9999) in {tuple(r) for r in history.repeats().collect()}
+    assert all(read[1][k] < 3 * max(read[0][k], 50) for k in read[0]), read
+
+
 def test_repeated_rows_and_empty_table(spark):
     assert {tuple(r) for r in bd.find_repeats(table(spark, ROWS + ROWS)).collect()} == EXPECTED
     assert bd.find_repeats(table(spark, [])).count() == 0
