@@ -2,11 +2,15 @@
 
 Each distinct spelling is folded (accents, case, hyphens, digraphs such as
 "oe") and cut into long words and initials. Spellings meet in blocks of phonetic
-codes of their sorted words; pairs of a block are compared with Jaro-Winkler, a
-one-letter slip at most and a table of nicknames; accepted pairs of full names
-are clustered by connected components. A spelling with initials only joins the
-one cluster its family name and initials fit; where they fit several clusters
-equally it joins none, for a spelling belongs to one entity.
+codes of their sorted words; pairs of a block are compared with Jaro-Winkler and
+a table of nicknames; accepted pairs of full names are clustered by connected
+components. Jaro-Winkler accepts a slip of a letter, and more of them in long
+words that sound alike; in words of three letters, where one letter makes another
+name, only swapped neighbours and consonants of one sound are slips. A spelling
+with initials only joins the one cluster its family name and initials fit; where
+they fit several clusters equally it joins none, for a spelling belongs to one
+entity. Among such spellings a shorter one joins the longer ones only where
+these agree with each other.
 
 Defined results: null and blank names are left out; repeated spellings count
 once; a spelling without letters is linked with nothing; names of any length are
@@ -16,8 +20,10 @@ compared whole; pairs are ordered by code point.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -76,14 +82,16 @@ NICKNAMES = {
 }
 # Words that end or begin the name of a body of people.
 BODIES = ("collaboration", "consortium", "group", "team", "network", "project", "institute", "university", "society", "laboratory", "initiative", "survey", "association", "committee", "center", "centre")
+#: Words of so many letters that sound the same are alike from this similarity on.
+SURE_LETTERS, SURE = 8, 0.95
 FILLERS = frozenset("the of and for a an".split())
 FORMAL: dict[str, frozenset[str]] = {}
 for _name, _nicks in NICKNAMES.items():
     for _nick in (*_nicks.split(), _name):
         FORMAL[_nick] = FORMAL.get(_nick, frozenset()) | {_name}
 
-#: Names of more long words are linked only by the same words in any order.
-MOST_WORDS = 5
+#: Names of more long words are compared as sets of words: all but one are the same.
+LONG_NAME = 5
 _LETTERS = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "a", "œ": "o", "ı": "i", "þ": "th", "ð": "d"})
 _SUFFIX = re.compile(r",?\s+(?:jr|sr|ii|iii|iv)\.?\s*$", re.I)
 _INITIALS = re.compile(r"(?:[A-Z]\.?-?){1,3}\.?$|[a-z]\.$|(?:[a-z]\.-?){2,3}$")
@@ -184,6 +192,13 @@ def formal(word: str) -> frozenset[str]:
     return FORMAL.get(word, frozenset((word,)))
 
 
+_ROOM = 1 << 61
+
+
+def _number(code: str) -> int:
+    return int.from_bytes(hashlib.blake2b(code.encode("utf-8"), digest_size=8).digest(), "little")
+
+
 def blocks(spelling: str) -> list[str]:
     """Keys under which a spelling is compared. Two spellings of one name that
     differ by order, initials, a nickname and one slip share at least one."""
@@ -192,9 +207,11 @@ def blocks(spelling: str) -> list[str]:
         keys = {f"o|{sound(w)}|{''.join(sorted([*(x[0] for j, x in enumerate(n.words) if j != i), *n.initials]))}" for i, w in enumerate(n.words)}
         whole = sorted(sound(w) for w in n.words)
         return sorted(keys | {"o|" + " ".join(whole)})
-    keys = set()
-    if len(n.words) > MOST_WORDS:
-        return ["l|" + " ".join(sorted(n.words))]
+    # of a long name: all its words, and all but each one
+    codes = [_number(sound(min(formal(w)))) for w in n.words] if len(n.words) >= LONG_NAME else []
+    keys = {f"l|{sum(codes) % _ROOM}"} if codes else set()
+    if len(codes) > LONG_NAME:
+        return sorted(keys | {f"l|{(sum(codes) - c) % _ROOM}" for c in codes})
     for words, i in [(words, i) for words in _joined(n.words) for i in range(len(words))]:
         family, others = words[i], [w for j, w in enumerate(words) if j != i]
         firsts = {g[0] for w in others for g in (w, *formal(w))} | set(n.initials[:1] if not others else "")
@@ -253,7 +270,18 @@ def alike(a: str, b: str, least: float) -> int:
     """2 for equal words, 1 for a slip, 0 for different words."""
     if a == b or _undotted(a) == _undotted(b):
         return 2
-    return int(min(len(a), len(b)) > 3 and one_slip(a, b) and jaro_winkler(a, b) >= least)
+    close = jaro_winkler(a, b)
+    short = min(len(a), len(b))
+    if short <= 3:
+        return int(len(a) == len(b) == 3 and one_slip(a, b) and (sorted(a) == sorted(b) or _one_sound(a, b)))
+    if one_slip(a, b):
+        return int(close >= least)
+    return int(short >= SURE_LETTERS and close >= SURE and sound(a) == sound(b))
+
+
+def _one_sound(a: str, b: str) -> bool:
+    """Whether the letters in which two words differ are consonants of one group."""
+    return all(x == y or any(x in letters and y in letters for _, letters in _GROUPS) for x, y in zip(a, b, strict=True))
 
 
 def _given_alike(a: str, b: str) -> int:
@@ -301,8 +329,8 @@ def compare(x: str, y: str) -> int:
                 rest = b.words[:i] + b.words[i + 1 :]
                 best = max(best, _fits(a.initials, rest, b.parts[:i] + b.parts[i + 1 :], b.initials))
         return best
-    if len(b.words) > MOST_WORDS or len(a.words) > MOST_WORDS:
-        return 3 * (sorted(a.words) == sorted(b.words))
+    if len(b.words) > LONG_NAME or len(a.words) > LONG_NAME:
+        return 3 * _same_long(a, b)
     if a.initials and b.initials and not (a.initials.startswith(b.initials) or b.initials.startswith(a.initials)):
         return 0
     for mine in _joined(a.words):
@@ -320,6 +348,23 @@ def _same_words(mine: tuple[str, ...], theirs: tuple[str, ...]) -> bool:
     return bool(given) and family + given > 2 and all(m == n or m[0] == n[0] for m, n in zip(mine[1:-1], theirs[1:-1], strict=False))
 
 
+def _same_long(a: Name, b: Name) -> bool:
+    """Names of many words, in any order: the same words, but for one that has a
+    slip, is a nickname or an initial, or is left out between the first and last."""
+    mine, theirs = Counter(a.words), Counter(b.words)
+    left, right = list((mine - theirs).elements()), list((theirs - mine).elements())
+    if len(left) > len(right):
+        left, right, a, b = right, left, b, a
+    if len(right) > 1 or len(right) == len(a.words):
+        return False
+    if left:
+        return bool(_given_alike(left[0], right[0]))
+    if right and right[0] in (b.words[0], b.words[-1]):
+        return False
+    spare = Counter(a.initials) - Counter(b.initials)
+    return not spare or sum(spare.values()) == 1 and bool(right) and right[0][0] in spare
+
+
 def _same_body(a: Name, b: Name) -> bool:
     kind = a.body if len(a.body) <= len(b.body) else b.body
     if not (a.body if kind is b.body else b.body).startswith(kind):
@@ -338,42 +383,57 @@ def _same_body(a: Name, b: Name) -> bool:
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"name": pdf["name"], "keys": [blocks(s) for s in pdf["name"]]})
+        yield pdf.assign(keys=[blocks(s) for s in pdf["name"]])
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         how = [compare(x, y) for x, y in zip(pdf["name_a"], pdf["name_b"], strict=True)]
-        weak = [len(n.words) < 2 and not n.body for n in map(parse, pdf["name_a"])]
-        other = [len(n.words) < 2 and not n.body for n in map(parse, pdf["name_b"])]
-        yield pdf.assign(how=how, weak_a=weak, weak_b=other).query("how > 0")
+        pdf = pdf.assign(how=how).query("how > 0")
+        sides = {s: [parse(x) for x in pdf[f"name_{s}"]] for s in "ab"}
+        weak = {f"weak_{s}": [len(n.words) < 2 and not n.body for n in names] for s, names in sides.items()}
+        initials = {f"initials_{s}": [n.initials for n in names] for s, names in sides.items()}
+        yield pdf.assign(**weak, **initials)[["id_a", "id_b", "how", "weak_a", "weak_b", "initials_a", "initials_b"]]
+
+
+COMPARED = "id_a bigint, id_b bigint, how int, weak_a boolean, weak_b boolean, initials_a string, initials_b string"
+
+
+def _agreeing(alone: DataFrame) -> DataFrame:
+    """(a, b): links among initialled spellings. Equal initials are linked; a
+    spelling with fewer is linked with those that have more where the longest of
+    these begins with each of them."""
+    a_less = F.length("initials_a") < F.length("initials_b")
+    side = lambda c, x, y: F.when(a_less, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
+    part = alone.where("how = 1").select(side("id", "a", "b").alias("a"), side("id", "b", "a").alias("b"), side("initials", "b", "a").alias("more"))
+    longest = part.groupBy("a").agg(F.max_by("more", F.struct(F.length("more"), "more")).alias("longest"))
+    agree = part.join(longest, "a").groupBy("a").agg(F.bool_and(F.col("longest").startswith(F.col("more"))).alias("agree")).where("agree").select("a")
+    return alone.where("how > 1").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).unionByName(part.join(agree, "a").select("a", "b"))
 
 
 def link_spellings(names: DataFrame, column: str) -> DataFrame:
     """(name, entity): spellings that are linked with others, and a number that
     is the same for all spellings of one entity."""
-    distinct = materialise(names.select(F.col(column).alias("name")).where(r"name rlike '(?U)\\p{L}'").distinct(), "names")
-    rows = distinct.mapInPandas(_keyed, "name string, keys array<string>").select("name", F.explode("keys").alias("key"))
-    pairs = bucket_pairs(rows, "key", "name", []).distinct()
-    accepted = materialise(pairs.mapInPandas(_compared, "name_a string, name_b string, how int, weak_a boolean, weak_b boolean"), "name-pairs")
-    number = lambda c: F.xxhash64(c)
-
-    full = accepted.where("how = 3")
-    clusters = materialise(connected_components(full.select(number("name_a").alias("a"), number("name_b").alias("b")), "a", "b"), "name-clusters")
-    mixed = accepted.where("weak_a != weak_b").select(
-        F.when(F.col("weak_a"), F.col("name_a")).otherwise(F.col("name_b")).alias("weak"), F.when(F.col("weak_a"), F.col("name_b")).otherwise(F.col("name_a")).alias("strong"), "how"
-    )
-    mixed = mixed.select(number("weak").alias("weak"), number("strong").alias("node"), "how").join(clusters, "node", "left")
+    distinct = names.select(F.col(column).alias("name")).where(r"name rlike '(?U)\\p{L}'").distinct()
+    distinct = materialise(distinct.withColumn("id", F.monotonically_increasing_id()), "names")
+    rows = distinct.mapInPandas(_keyed, "name string, id bigint, keys array<string>").select("name", "id", F.explode("keys").alias("key"))
+    rows = materialise(rows.select(F.xxhash64("key").alias("key"), "id", "name"), "name-keys")
+    pairs = bucket_pairs(rows, "key", "id", ["name"]).distinct()
+    accepted = materialise(pairs.mapInPandas(_compared, COMPARED), "name-pairs")
+
+    clusters = materialise(connected_components(accepted.where("how = 3"), "id_a", "id_b"), "name-clusters")
+    side = lambda x, y: F.when(F.col("weak_a"), F.col(f"id_{x}")).otherwise(F.col(f"id_{y}"))
+    mixed = accepted.where("weak_a != weak_b").select(side("a", "b").alias("weak"), side("b", "a").alias("node"), "how").join(clusters, "node", "left")
     per_entity = mixed.groupBy("weak", F.coalesce("root", "node").alias("entity")).agg(F.max("how").alias("how"))
-    best = per_entity.groupBy("weak").agg(F.max("how").alias("top"), F.max_by("entity", "how").alias("entity"), F.collect_set(F.struct("how", "entity")).alias("all"))
-    attached = best.where(F.size(F.filter("all", lambda x: x["how"] == F.col("top"))) == 1).select("weak", "entity")
+    best = per_entity.groupBy("weak").agg(F.max("how").alias("top"), F.max_by("entity", "how").alias("entity"), F.count_if(F.col("how") >= 2).alias("fit"), F.count(F.lit(1)).alias("any"))
+    attached = best.where(F.when(F.col("top") >= 2, F.col("fit")).otherwise(F.col("any")) == 1).select("weak", "entity")
     # initialled spellings that fit no full name are linked among themselves
-    alone = accepted.where("weak_a and weak_b").select(number("name_a").alias("a"), number("name_b").alias("b"))
-    fitted = per_entity.select("weak").distinct()
-    alone = alone.join(fitted, F.col("a") == F.col("weak"), "left_anti").join(fitted, F.col("b") == F.col("weak"), "left_anti")
-    edges = clusters.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(attached.select(F.col("weak").alias("a"), F.col("entity").alias("b"))).unionByName(alone)
+    fitted = materialise(per_entity.select("weak").distinct(), "fitted")
+    alone = accepted.where("weak_a and weak_b and how < 3")
+    alone = alone.join(fitted, F.col("id_a") == F.col("weak"), "left_anti").join(fitted, F.col("id_b") == F.col("weak"), "left_anti")
+    edges = clusters.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(attached.select(F.col("weak").alias("a"), F.col("entity").alias("b"))).unionByName(_agreeing(alone))
     final = connected_components(edges, "a", "b")
-    return distinct.withColumn("node", number("name")).join(final, "node").select("name", F.col("root").alias("entity"))
+    return distinct.join(final, F.col("id") == F.col("node")).select("name", F.col("root").alias("entity"))
 
 
 def spelling_pairs(papers: DataFrame) -> DataFrame:

@@ -76,3 +76,33 @@ def test_pairs(spark):
     got = [tuple(r) for r in nm.spelling_pairs(df).collect()]
     assert sorted(got) == [("Ana Lopelop", "LOPELOP Ana"), ("Ana Lopelop", "Lopelop, Ana"), ("LOPELOP Ana", "Lopelop, Ana")]
     assert nm.spelling_pairs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "same"),
+    [
+        ("Maria Jose Ana Luz Paz Perez", "Maria Jose Ana Luz Pas Perez", True), ("Maria Jose Ana Luz Paz Perez", "Perez, Maria Jose Ana Luz Paz", True),
+        ("Maria Jose Ana Luz Paz Perez", "Maria Jose Ana Luz Perez", True), ("Maria Jose Ana Luz Paz Perez", "Maria Jose Eva Sol Paz Perez", False),
+        ("Wei Li", "Wie Li", True), ("Wei Li", "Wen Li", False), ("Jan Novak", "Jon Novak", False),
+        ("Anna Christopherson", "Anna Christoferson", True), ("Anna Christopherson", "Anna Christiansen", False),
+    ],
+)
+def test_long_names_short_words_and_several_slips(a, b, same):
+    assert (nm.compare(a, b) == 3) == same and nm.compare(a, b) == nm.compare(b, a)
+    if same:
+        assert set(nm.blocks(a)) & set(nm.blocks(b))
+
+
+def test_a_name_of_very_many_words_is_blocked_in_linear_time():
+    words = [f"Ab{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)]
+    assert len(nm.blocks(" ".join(words))) <= 3001 and nm.compare(" ".join(words), " ".join(words[::-1])) == 3
+
+
+def test_initials_are_not_chained(spark):
+    apart = {"J. Smith", "J. A. Smith", "J. B. Smith"}
+    together = {"K. Brown", "K. L. Brown", "K. L. M. Brown"}
+    df = spark.createDataFrame([(n,) for n in apart | together], "v string")
+    found = {}
+    for r in nm.link_spellings(df, "v").collect():
+        found.setdefault(r.entity, set()).add(r.name)
+    assert list(found.values()) == [together]
