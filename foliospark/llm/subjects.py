@@ -1,7 +1,9 @@
 """Problem 9: the subject areas of each document.
 
-A model is fitted on labelled documents, at most ``MAX_LABELLED`` of them, and
-applied to every document where it lies.
+A model is fitted on labelled documents, at most ``MAX_LABELLED`` of them with at
+most ``MAX_LETTERS`` letters together, and applied to every document where it
+lies, a batch of documents at a time. What the areas are said to cover counts as
+one more text of each area where terms are weighed.
 
 Terms (words and pairs of neighbouring words) get weights per area from the
 sentences of labelled documents, by expectation maximisation: a document's
@@ -19,7 +21,6 @@ once; without any usable label nothing is found.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -27,12 +28,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LABELLED = 20_000
-MAX_TERMS = 150_000
+from foliospark.session import materialise
+
+#: The sample that the model is fitted on: documents, and letters of them all.
+MAX_LABELLED, MAX_LETTERS = 20_000, 64_000_000
 FOLDS, ROUNDS, BEAM = 4, 4, 8
+ROWS_AT_ONCE = 500
 #: Term evidence below which a sentence treats no area.
 LEAST = 1.0
 SECTIONS = ("abstract", "context", "fulltext", "notes", "answer", "boilerplate")  # any other counts as none of these
@@ -88,7 +92,7 @@ def fit_terms(docs: list[list[list[str]]], labels: list[set[int]], n: int) -> tu
     seen: Counter[str] = Counter()
     for d in docs:
         seen.update({t for s in d for t in terms_of(s)})
-    kept = [t for t, c in seen.most_common(MAX_TERMS) if c > 1]
+    kept = sorted(t for t, c in seen.items() if c > 1)
     index = {t: i for i, t in enumerate(kept)}
     ids = [[np.array([index[t] for t in terms_of(s) if t in index], np.int64) for s in d] for d in docs]
     flat = [s for d in ids for s in d]
@@ -123,24 +127,30 @@ def fit_terms(docs: list[list[list[str]]], labels: list[set[int]], n: int) -> tu
     return index, weights
 
 
-def shares(doc: list[list[str]], index: dict[str, int], weights: np.ndarray) -> np.ndarray:
-    """Share of the sentences that treat each area, and of those that treat none."""
+def shares(docs: list[list[list[str]]], index: dict[str, int], weights: np.ndarray) -> np.ndarray:
+    """A row per document: the share of its sentences that treat each area, and of
+    those that treat none."""
     n = weights.shape[1]
-    out = np.zeros(n + 1)
-    for s in doc:
-        at = [i for t in terms_of(s) if (i := index.get(t)) is not None]
-        score = weights[at].sum(axis=0) if at else np.zeros(n)
-        top = int(score.argmax())
-        out[top if score[top] >= LEAST else n] += 1
-    return out / max(1, len(doc))
-
-
-def features(share: np.ndarray, count: int, source: str | None, section: str | None, sources: dict[str, np.ndarray]) -> np.ndarray:
-    """Term, source and structure features of a document."""
-    n = len(share) - 1
-    prior = sources.get(source or "", np.zeros(n))
-    kind = [float((section or "") == s) for s in SECTIONS]
-    return np.concatenate([share, np.tanh(20 * (share[:n] - 0.25)), [share[:n].max(), math.log1p(count)], prior, kind, [1.0]])
+    sizes = np.array([len(d) for d in docs], np.int64)
+    get = index.get
+    ids = [[i for t in terms_of(s) if (i := get(t)) is not None] for d in docs for s in d]
+    at = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    terms = np.fromiter((i for x in ids for i in x), np.int64, len(at))
+    score = np.stack([np.bincount(at, weights[terms, a], len(ids)) for a in range(n)], axis=1) if n else np.zeros((len(ids), 0))
+    top = score.argmax(axis=1) if len(ids) else np.zeros(0, np.int64)
+    top = np.where(score[np.arange(len(ids)), top] >= LEAST, top, n)
+    counts = np.bincount(np.repeat(np.arange(len(docs)), sizes) * (n + 1) + top, minlength=len(docs) * (n + 1))
+    return counts.reshape(len(docs), n + 1) / np.maximum(1, sizes)[:, None]
+
+
+def features(share: np.ndarray, docs: list[list[list[str]]], sources: list[str | None], sections: list[str | None], known: dict[str, np.ndarray]) -> np.ndarray:
+    """Term, source and structure features, a row per document."""
+    n = share.shape[1] - 1
+    none = np.zeros(n)
+    prior = np.array([known.get(s or "", none) for s in sources]).reshape(len(docs), n)
+    kind = np.array([[float((x or "") == s) for s in SECTIONS] for x in sections]).reshape(len(docs), len(SECTIONS))
+    length = np.log1p([len(d) for d in docs])
+    return np.concatenate([share, np.tanh(20 * (share[:, :n] - 0.25)), share[:, :n].max(axis=1, keepdims=True), length[:, None], prior, kind, np.ones((len(docs), 1))], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -170,26 +180,33 @@ class Model:
     platt: list[tuple[float, float]]
 
     def logit(self, step: int, x: np.ndarray, before: np.ndarray) -> np.ndarray:
-        a, b = self.platt[step]
-        return a * (np.concatenate([before, x], axis=-1) @ self.chain[step]) + b
-
-    def decode(self, x: np.ndarray) -> list[int]:
-        """The most likely set of areas, by beam search along the chain."""
-        beam: list[tuple[float, tuple[float, ...]]] = [(0.0, ())]
+        """Of rows of features, or of any decisions before for each row."""
+        slope, offset = self.platt[step]
+        own = x @ self.chain[step][step:]
+        earlier = before @ self.chain[step][:step]
+        return slope * (earlier + own[..., None] if earlier.ndim > own.ndim else earlier + own) + offset
+
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        """For each row of features the most likely set of areas, as a row of
+        booleans, by beam search along the chain."""
+        rows = np.arange(len(x))[:, None]
+        cost, before = np.zeros((len(x), 1)), np.zeros((len(x), 1, 0))
         for step in range(len(self.order)):
-            grown = []
-            for cost, before in beam:
-                z = float(self.logit(step, x, np.array(before)))
-                grown.append((cost + math.log1p(math.exp(-z)) if z > -30 else cost - z, (*before, 1.0)))
-                grown.append((cost + math.log1p(math.exp(z)) if z < 30 else cost + z, (*before, 0.0)))
-            beam = sorted(grown)[:BEAM]
-        return sorted(a for a, on in zip(self.order, beam[0][1], strict=True) if on)
-
-    def areas_of(self, text: str, source: str | None, section: str | None) -> list[int]:
-        doc = sentences(text)
-        if not doc:
-            return []
-        return self.decode(features(shares(doc, self.index, self.weights), len(doc), source, section, self.sources))
+            z = self.logit(step, x, before)
+            width = z.shape[1]
+            grown = np.concatenate([cost + np.logaddexp(0, z), cost + np.logaddexp(0, -z)], axis=1)
+            best = np.argsort(grown, axis=1, kind="stable")[:, :BEAM]
+            cost = np.take_along_axis(grown, best, 1)
+            before = np.concatenate([before[rows, best % width], (best >= width)[:, :, None].astype(float)], axis=2)
+        found = np.zeros((len(x), len(self.order)), bool)
+        found[:, self.order] = before[:, 0] > 0
+        return found
+
+    def areas_of(self, texts: list[str], sources: list[str | None], sections: list[str | None]) -> np.ndarray:
+        """(text, area) booleans; a text without sentences has no area."""
+        docs = [sentences(t) for t in texts]
+        found = self.decode(features(shares(docs, self.index, self.weights), docs, sources, sections, self.sources))
+        return found & np.array([bool(d) for d in docs], bool)[:, None]
 
 
 def _source_table(sources: list[str | None], y: np.ndarray) -> dict[str, np.ndarray]:
@@ -202,8 +219,11 @@ def _source_table(sources: list[str | None], y: np.ndarray) -> dict[str, np.ndar
     return {s: (y[at].sum(axis=0) + 20 * base) / (len(at) + 20) - base for s, at in groups.items() if len(at) > 4}
 
 
-def fit(rows: list[tuple[str, str | None, str | None, set[int]]], areas: list[str]) -> Model | None:
-    """Fit on (text, source, section, areas) of labelled documents."""
+def fit(rows: list[tuple[str, str | None, str | None, set[int]]], areas: list[str], about: list[str | None] | None = None) -> Model | None:
+    """Fit on (text, source, section, areas) of labelled documents, and on what
+    the areas are about."""
+    told = [(i, words) for i, t in enumerate(about or []) if len(words := _WORD.findall((t or "").lower())) >= 3]
+    more, of = [[words] for _, words in told], [{i} for i, _ in told]
     docs = [sentences(r[0]) for r in rows]
     keep = [i for i, d in enumerate(docs) if d and rows[i][3]]
     if len(keep) < 2 * FOLDS:
@@ -216,9 +236,10 @@ def fit(rows: list[tuple[str, str | None, str | None, set[int]]], areas: list[st
     x = np.zeros((len(rows), 0))
     for f in range(FOLDS):
         here, there = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-        index, weights = fit_terms([docs[i] for i in there], [rows[i][3] for i in there], n)
+        index, weights = fit_terms([*(docs[i] for i in there), *more], [*(rows[i][3] for i in there), *of], n)
         table = _source_table([rows[i][1] for i in there], y[there])
-        part = np.array([features(shares(docs[i], index, weights), len(docs[i]), rows[i][1], rows[i][2], table) for i in here])
+        some = [docs[i] for i in here]
+        part = features(shares(some, index, weights), some, [rows[i][1] for i in here], [rows[i][2] for i in here], table)
         if not x.shape[1]:
             x = np.zeros((len(rows), part.shape[1]))
         x[here] = part
@@ -232,38 +253,41 @@ def fit(rows: list[tuple[str, str | None, str | None, set[int]]], areas: list[st
         slope, offset = _logistic(np.stack([held, np.ones(len(rows))], axis=1), y[:, a], ridge=1e-3)
         chain.append(_logistic(z, y[:, a]))
         platt.append((max(0.05, float(slope)), float(offset)))
-    index, weights = fit_terms(docs, [r[3] for r in rows], n)
+    index, weights = fit_terms([*docs, *more], [*(r[3] for r in rows), *of], n)
     return Model(areas, index, weights.astype(np.float32), _source_table([r[1] for r in rows], y), order, chain, platt)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, areas: list[str], most: int = MAX_LABELLED) -> list[tuple[str, str | None, str | None, set[int]]]:
-    """Texts of labelled documents, at most ``most``, chosen by a hash of the key."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, areas: list[str], most: int = MAX_LABELLED, letters: int = MAX_LETTERS) -> list[tuple[str, str | None, str | None, set[int]]]:
+    """Whole texts of labelled documents in the order of a hash of the key: at most
+    ``most``, and as many as have at most ``letters`` letters together."""
     ours = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.collect_set("subject").alias("subjects"))
-    ours = ours.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    ours = ours.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most)
     texts = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.make_valid_utf8("text").alias("text"), "source", "section").dropDuplicates(["doc_id"])
-    rows = texts.join(ours, "doc_id").orderBy("doc_id").collect()
+    rows = materialise(texts.join(ours, "doc_id"), "labelled")
+    so_far = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of at most ``most`` numbers
+    kept = rows.select("doc_id", "h", F.sum(F.length("text")).over(so_far).alias("n")).where(F.col("n") <= letters).select("doc_id")
     place = {a: i for i, a in enumerate(areas)}
-    return [(r["text"], r["source"], r["section"], {place[a] for s in r["subjects"] if (a := clean_label(s, areas)) in place}) for r in rows]
+    found = rows.join(kept, "doc_id").orderBy("doc_id").collect()
+    return [(r["text"], r["source"], r["section"], {place[a] for s in r["subjects"] if (a := clean_label(s, areas)) in place}) for r in found]
 
 
 def find_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, subject): the areas that each document treats."""
-    areas = [r["subject"] for r in subjects.where("subject is not null").select("subject").distinct().orderBy("subject").limit(1000).collect()]
-    model = fit(labelled_rows(docs, labels, areas, most), areas)
+    told = subjects.where("subject is not null").groupBy("subject").agg(F.min("about").alias("about")).orderBy("subject").collect()  # the stated areas
+    areas = [r["subject"] for r in told]
+    model = fit(labelled_rows(docs, labels, areas, most), areas, [r["about"] for r in told])
     if model is None:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, subject string")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as many terms as the bounded sample has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
-            keys, found = [], []
-            for key, text, source, section in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if text and key is not None:
-                    for a in model.areas_of(text, source, section):
-                        keys.append(key)
-                        found.append(model.areas[a])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.string())], names=["doc_id", "subject"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.make_valid_utf8("text").alias("text"), "source", "section")
+        names = pa.array(model.areas, pa.string())
+        for batch in batches:
+            for b in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, batch.num_rows, ROWS_AT_ONCE)):
+                found = model.areas_of(*[c.to_pylist() for c in b.columns[1:]])
+                at, area = np.nonzero(found)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), names.take(pa.array(area))], names=["doc_id", "subject"])
+
+    rows = docs.where("doc_id is not null and text != ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.make_valid_utf8("text").alias("text"), "source", "section")
     return rows.mapInArrow(run, "doc_id bigint, subject string").distinct()

@@ -67,6 +67,8 @@ def test_without_labels_nothing_is_found(tables):
 def test_labels_are_bounded(tables):
     docs, labels, _ = tables
     assert len(sj.labelled_rows(docs, labels, AREAS, most=10)) == 10
+    some = sj.labelled_rows(docs, labels, AREAS, most=10, letters=2000)
+    assert 0 < len(some) < 10 and sum(len(r[0]) for r in some) <= 2000
 
 
 @pytest.mark.parametrize(("label", "area"), [("LAW", "law"), ("la", "law"), ("biolgy", "biology"), (" sport ", "sport"), ("spotr", "sport"), ("cooking", None), (None, None), ("", None)])
@@ -93,4 +95,5 @@ def test_beam_search_is_exact_for_few_areas():
             return sum(math.log1p(math.exp(-float(model.logit(s, x, np.array(bits[:s]))) * (1 if b else -1))) for s, b in enumerate(bits))
 
         best = min(itertools.product([0.0, 1.0], repeat=3), key=cost)
-        assert model.decode(x) == [i for i, b in enumerate(best) if b]
+        rows = np.stack([x, -x, x])  # rows do not mix
+        assert model.decode(rows)[0].tolist() == [bool(b) for b in best] == model.decode(rows)[2].tolist()
