@@ -25,6 +25,13 @@ STOP_WORDS = tuple(
 )
 
 
+def read_stop_words(path: str) -> tuple[str, ...]:
+    """Stop words of one's own: a file with a word per line; blank lines and lines
+    that begin with # aside."""
+    with open(path, encoding="utf-8") as lines:
+        return tuple(w.strip().lower() for w in lines if w.strip() and not w.startswith("#"))
+
+
 def as_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -99,8 +106,12 @@ def terms(c: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     return F.concat(words, bigrams(words))
 
 
-def preview(c: Column, most: int = 800) -> Column:
-    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
+# The length of a preview and what follows a cut one.
+PREVIEW, CUT = 800, "..."
+
+
+def preview(c: Column, most: int = PREVIEW) -> Column:
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(CUT))).otherwise(c)
 
 
 def meta_line(authors: Column, published: Column) -> Column:
@@ -108,7 +119,3 @@ def meta_line(authors: Column, published: Column) -> Column:
     who = F.when(is_blank(authors), F.lit("Unknown authors")).otherwise(authors)
     day = as_text(published)
     return F.when(strip(day) == "", who).otherwise(F.concat(who, F.lit(" | "), day))
-
-
-def three_decimals(c: Column) -> Column:
-    return F.format_number(c, 3)

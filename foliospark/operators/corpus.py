@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark import schemas
 from foliospark.functions import text
 from foliospark.session import materialise
 
-CLEAN_COLUMNS = ("arxiv_id", "title_clean", "abstract_clean", "text_unit", "authors", "published", "updated", "primary_category", "pdf_url")
-INDEX_COLUMNS = ("id", "title", "published", "updated", "pdf_url")
+CLEAN_COLUMNS = tuple(schemas.CORPUS_CLEAN.names)
+#: What an index keeps of a row to show it, where the table has it.
+INDEX_COLUMNS = ("title", "published", "updated", "pdf_url")
 
 
 def pick(df: DataFrame, wanted: tuple[str, ...], fallback: tuple[str, ...] | None = None) -> DataFrame:
@@ -60,8 +62,10 @@ def dense_index(df: DataFrame, keys: list[str], name: str = "row_idx") -> DataFr
 
 
 def embedding_index(df: DataFrame, keys: list[str], column: str, model: str) -> DataFrame:
-    """Non-empty rows with their ordinal and how they are embedded."""
-    rows = dense_index(nonempty(df, column).select(*keys), keys)
+    """Non-empty rows with their ordinal, what is shown of them and how they are
+    embedded."""
+    shown = [c for c in INDEX_COLUMNS if c in df.columns and c not in keys]
+    rows = dense_index(nonempty(df, column).select(*keys, *shown), keys)
     return rows.withColumns({"embedded_text_col": F.lit(column), "embedding_model": F.lit(model)})
 
 

@@ -14,7 +14,8 @@ Defined results
 * repeated rows of the input give repeated rows of the output;
 * empty pieces and "et al." take no place;
 * a quote that is never closed is an ordinary character;
-* the noncharacters U+FDD0 to U+FDD5 are used inside and not kept;
+* the noncharacters U+FDD0 to U+FDD5 are used inside; those of the input are
+  left out, whatever they stand between;
 * an empty table gives an empty table; other columns are ignored, and the
   operator's inner names do not clash with them.
 """
@@ -32,6 +33,8 @@ from foliospark.session import materialise
 
 #: Skeletons are broadcast up to this many; beyond it they are joined by a shuffle.
 MAX_BROADCAST_SKELETONS = 50_000
+#: Letters that broadcast skeletons have together; there are four bytes of codes to each.
+MAX_BROADCAST_LETTERS = 8_000_000
 
 # Stand-ins (Unicode noncharacters) for words that separate.
 MARKS = {
@@ -48,6 +51,7 @@ SUFFIX = r"^\s*(?:Jr|Sr|II|III|IV)\.?\s*$"
 
 #: Begins a value in the joined tokens.
 START = "\ufdd5"
+INSIDE = AND_MARKS + ETAL_MARKS + START
 
 #: What becomes of each token: its value's style where it begins one, else one of these.
 RULES_SCHEMA = "skeleton string, codes array<int>"
@@ -250,16 +254,17 @@ def split_packed(df: DataFrame, field: str, key: str, kind: FieldKind, max_broad
     """One row per value of ``field``: row_key, pos (bigint, from 1), val.
 
     The skeletons' rules are a table of their own; it is broadcast only when it
-    has at most ``max_broadcast`` rows, which bounds its size, and joined by a
-    shuffle otherwise.
+    has at most ``max_broadcast`` rows and ``MAX_BROADCAST_LETTERS`` letters, and
+    joined by a shuffle otherwise.
     """
-    rows = df.select(F.col(key).alias("_k"), _strip(F.col(field)).alias("_f")).where("_f != ''")
+    rows = df.select(F.col(key).alias("_k"), _strip(F.translate(F.col(field), INSIDE, "")).alias("_f")).where("_f != ''")
     tokens, is_list = _tokens(F.col("_f"), kind)
     rows = rows.withColumns({"_t": tokens, "_l": is_list, "_c": F.col("_f").contains(",")})
     mode = F.when(F.col("_l"), "L").otherwise("P")
     rows = rows.select("_k", "_t", F.concat(F.lit(kind.letter), mode, _letters(F.col("_t"), F.col("_l"), F.col("_c"), kind)).alias("skeleton"))
     rules = materialise(rows.select("skeleton").distinct().mapInPandas(_rules, RULES_SCHEMA), "skeletons")
-    small = rules.limit(max_broadcast + 1).count() <= max_broadcast
+    size = rules.limit(max_broadcast + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("skeleton")), F.lit(0))).first()
+    small = size[0] <= max_broadcast and size[1] <= MAX_BROADCAST_LETTERS
     rules = F.broadcast(rules) if small else rules.hint("shuffle_hash")
     # one string with a mark before each value, cut at the marks: linear in the field
     begun = lambda t, code: F.when(code >= 0, F.concat(F.lit(START), code.cast("string"), t)).when(code == GOES_ON, t).otherwise("")

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text
 from foliospark.operators import models
 
-MAX_CHARS, SEPARATOR, NO_CONTEXT = 6000, "\n---\n", "No relevant context was found."
+# The budget, the line between chunks and the parts of a chunk.
+MAX_CHARS, SEPARATOR = 6000, "\n---\n"
+TITLE, CONTENT, END = "TITLE: ", "\nCONTENT: ", "\n"
+NO_CONTEXT = "No relevant context was found."
+SHOWN_SOURCES = 3
 
 
 def chunk(title: Column, body: Column) -> Column:
-    return F.concat(F.lit("TITLE: "), title, F.lit("\nCONTENT: "), body, F.lit("\n"))
+    return F.concat(F.lit(TITLE), title, F.lit(CONTENT), body, F.lit(END))
 
 
 def packed_chunks(hits: DataFrame, key: str, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -39,12 +45,19 @@ def sources(hits: DataFrame, key: str, max_chars: int = MAX_CHARS) -> DataFrame:
     return rows.select(F.coalesce("title", F.lit("Untitled")).alias("title"), "similarity", text.as_text(F.col("pdf_url")).alias("pdf_url"))
 
 
-def answer(hits: DataFrame, key: str, question: str, max_chars: int = MAX_CHARS) -> DataFrame:
-    """One answer record; ``error`` is set, and the answer empty, without context."""
+def top_sources(hits: DataFrame, key: str, max_chars: int = MAX_CHARS, most: int = SHOWN_SOURCES) -> DataFrame:
+    """The first ``most`` sources of the context: (rank, title, similarity, pdf_url)."""
+    rows = packed_chunks(hits, key, max_chars).where(F.col("_place") <= most)
+    return rows.select(F.col("_place").cast("bigint").alias("rank"), F.coalesce("title", F.lit("Untitled")).alias("title"), "similarity", text.as_text(F.col("pdf_url")).alias("pdf_url"))
+
+
+def answer(hits: DataFrame, key: str, question: str, max_chars: int = MAX_CHARS, reader: Callable[[], models.Reader] | None = None) -> DataFrame:
+    """One answer record; ``error`` is set, and the answer empty, without context.
+    ``reader`` makes a reader of one's own; without one a sentence is picked."""
     listed = sources(hits, key, max_chars).select(F.struct((-F.col("similarity")).alias("o"), "title", "similarity", "pdf_url").alias("x"))
     found = F.transform(F.sort_array(F.collect_list("x")), lambda x: F.struct(x["title"].alias("title"), x["similarity"].alias("similarity"), x["pdf_url"].alias("pdf_url")))
     row = context(hits, key, max_chars).crossJoin(listed.agg(found.alias("sources")))
-    row = row.withColumn("read", models.sentence_answer(F.col("context"), question))
+    row = models.read(row, "context", question, reader) if reader else row.withColumn("read", models.sentence_answer(F.col("context"), question))
     none = F.col("n_chunks") == 0
     return row.select(
         F.when(none, F.lit("")).otherwise(F.col("read.answer")).alias("answer"),

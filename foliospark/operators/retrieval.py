@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ def top_k_batch(index: DataFrame, queries: DataFrame, key: str, vector: str, k:
     """(query_id, key, similarity, rank) for each query against all rows.
 
     Queries come to the driver in blocks of fixed size. A block is sent to the
-    rows once; each batch of rows is one matrix product and keeps its k best per
-    query, so k rows per query and batch are shuffled.
+    rows once; each batch of rows is one matrix product, and a task keeps the k best
+    it has seen per query, so k rows per query and task are shuffled.
     """
     out: DataFrame | None = None
     pending: list[tuple[int, list[float]]] = []
@@ -46,6 +47,7 @@ def top_k_batch(index: DataFrame, queries: DataFrame, key: str, vector: str, k:
         matrices = {n: np.array([rows[i][1] for i in at], np.float64) for n, at in by_length.items()}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = {n: (np.zeros((len(at), 0), np.int64), np.zeros((len(at), 0))) for n, at in by_length.items()}
             for b in batches:
                 lengths = b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 for n, at in by_length.items():
@@ -55,12 +57,13 @@ def top_k_batch(index: DataFrame, queries: DataFrame, key: str, vector: str, k:
                     part = b.take(pa.array(here))
                     keys = part.column(0).to_numpy(zero_copy_only=False)
                     x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(here), n).astype(np.float64)
-                    sims = np.round(matrices[n] @ x.T, decimals)
-                    order = np.lexsort((np.broadcast_to(keys, sims.shape), -sims), axis=1)[:, :k]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(ids[at], order.shape[1])), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(sims, order, 1).ravel())],
-                        names=["query_id", key, "similarity"],
-                    )
+                    sims = np.concatenate([best[n][1], np.round(matrices[n] @ x.T, decimals)], axis=1)
+                    who = np.concatenate([best[n][0], np.broadcast_to(keys, (len(at), len(keys)))], axis=1)
+                    order = np.lexsort((who, -sims), axis=1)[:, :k]
+                    best[n] = np.take_along_axis(who, order, 1), np.take_along_axis(sims, order, 1)
+            for n, at in by_length.items():
+                who, sims = best[n]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at], who.shape[1])), pa.array(who.ravel()), pa.array(sims.ravel())], names=["query_id", key, "similarity"])
 
         return index.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias(key), vector).mapInArrow(run, f"query_id bigint, {key} bigint, similarity double")
 
@@ -84,14 +87,45 @@ def centroids(df: DataFrame, group: str, vector: str, decimals: int = 6) -> Data
 
 def assign_nearest(df: DataFrame, key: str, vector: str, means: DataFrame, group: str, most_groups: int = 10_000) -> DataFrame:
     """(key, topic_id): the group whose mean vector is nearest; of equally near
-    ones the smaller. There are at most ``most_groups`` means, so they are sent
-    to the rows as one row."""
+    ones the smaller; null for a row without a vector of the means' length.
+
+    Means are sent to the rows as a matrix of at most ``most_groups``; where there
+    are more, further passes follow and a row's best of all passes is taken.
+    """
     packed = means.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "weight"))), lambda x: x["weight"]).alias("mean"))
-    packed = packed.limit(most_groups + 1)
-    if packed.count() > most_groups:
-        raise ValueError(f"more than {most_groups} groups; assign in several passes")
-    all_means = packed.agg(F.collect_list(F.struct(F.col(group).alias("g"), "mean")).alias("means"))
-    scored = df.crossJoin(F.broadcast(all_means)).select(
-        key, F.array_min(F.transform("means", lambda m: F.struct(F.round(vectors.squared_distance(F.col(vector), m["mean"]), 6).alias("d"), m["g"].alias("g")))).alias("best")
-    )
-    return scored.select(key, F.col("best.g").alias("topic_id"))
+    kinds = dict(df.select(key).dtypes) | dict(means.select(group).dtypes)
+    rows = df.select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_v"))
+    out, passes = None, 0
+
+    def place(block: list[tuple[int, list[float]]]) -> DataFrame:
+        of = {n: [r for r in block if len(r[1]) == n] for n in {len(r[1]) for r in block}}
+        sets = {n: (np.array([r[0] for r in some]), np.array([r[1] for r in some])) for n, some in of.items()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lengths = b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                near, far = np.zeros(b.num_rows, np.int64), np.full(b.num_rows, np.inf)
+                for n, (groups, m) in sets.items():
+                    here = np.flatnonzero(lengths == n)
+                    x = b.column(1).take(pa.array(here)).flatten().to_numpy(zero_copy_only=False).reshape(len(here), n)
+                    for i in range(0, len(here), 1000):
+                        d = np.round((x[i : i + 1000] ** 2).sum(axis=1)[:, None] + (m**2).sum(axis=1) - 2 * x[i : i + 1000] @ m.T, 6)
+                        at = d.argmin(axis=1)  # groups come in order
+                        near[here[i : i + 1000]], far[here[i : i + 1000]] = groups[at], d[np.arange(len(d)), at]
+                none = pa.array(np.isinf(far))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(far), pc.if_else(none, None, pa.array(near))], names=["_key", "d", "g"])
+
+        return rows.mapInArrow(run, f"_key {kinds[key]}, d double, g bigint")
+
+    pending: list[tuple[int, list[float]]] = []
+    for row in packed.orderBy(group).toLocalIterator():
+        pending.append((row[0], row[1]))
+        if len(pending) == most_groups:
+            part, passes, pending = place(pending), passes + 1, []
+            out = part if out is None else out.unionByName(part)
+    if pending or out is None:
+        part, passes = place(pending), passes + 1
+        out = part if out is None else out.unionByName(part)
+    if passes > 1:
+        out = out.groupBy("_key").agg(F.min(F.struct("d", "g")).alias("x")).select("_key", "x.g")
+    return out.select(F.col("_key").alias(key), F.col("g").cast(kinds[group]).alias("topic_id"))

@@ -44,6 +44,12 @@ def source_query(query: str, category: str | None = None) -> str:
     return f"cat:{category} AND ({query})" if category else query
 
 
+def parse_source_query(search: str) -> tuple[str, str]:
+    """(query, category) of a search string; "" where no category is asked for."""
+    found = re.fullmatch(r"cat:(\S+) AND \((.*)\)", search, re.DOTALL)
+    return (found[2], found[1]) if found else (search, "")
+
+
 def topic_rows(df: DataFrame, topic_id: int, order: list[str], k: int = 30) -> DataFrame:
     """The first ``k`` rows of a topic, in the columns made for browsing."""
     return pick(df.where(F.col("topic_id") == topic_id).orderBy(*order).limit(k), (*order, *[c for c in BROWSE_COLUMNS if c not in order]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from foliospark.functions.text import STOP_WORDS, TOKEN
 from foliospark.operators.models import DIMENSIONS
 from foliospark.plans.registry import CATEGORY, QUERY_EVERY, QUESTION, TOPIC, TOPICS
+from foliospark.sources.tables import NULL_CELLS
 
 
 def _strip(c: str) -> str:
@@ -23,6 +24,10 @@ def _blank(c: str) -> str:
     return f"{_strip(f'coalesce({c}, {chr(39)}{chr(39)})')} = ''"
 
 
+def _csv_cell(c: str) -> str:
+    return f"case when {c} not in ({', '.join(f"'{x}'" for x in NULL_CELLS)}) then {c} end"
+
+
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 CLEAN = f"""select record_id, arxiv_id, {_clean('title')} as title_clean, {_clean('summary')} as abstract_clean,
  {_clean('title')} || '. ' || {_clean('summary')} as text_unit, authors, {_day('published')} as published, {_day('updated')} as updated,
@@ -76,7 +81,7 @@ SQL: dict[str, str] = {
  coalesce(nullif(summary, ''), nullif(abstract_clean, ''), nullif(text_unit, ''), '') as body,
  case when {_blank('authors')} then 'Unknown authors' else authors end || case when {_blank('published')} then '' else ' | ' || published::varchar end as meta,
  not ({_blank('pdf_url')}) as has_link, {_strip("coalesce(abstract_clean, '')")} = {_strip("coalesce(summary, '')")} as summary_is_abstract from corpus_with_topics""".replace(_blank("published"), "published is null"),
-    "row_index": f"select record_id, row_number() over (order by record_id) - 1 as row_idx, 'summary' as embedded_text_col, 'hashing-64' as embedding_model from paper_metadata where not ({_blank('summary')})",
+    "row_index": f"select record_id, title, published, updated, pdf_url, row_number() over (order by record_id) - 1 as row_idx, 'summary' as embedded_text_col, 'hashing-64' as embedding_model from paper_metadata where not ({_blank('summary')})",
     "newest_first_limit": f"select record_id, published::varchar as published, title_clean from ({CLEAN}) order by published desc nulls last, record_id limit 20",
     "category_filter": f"select record_id, published::varchar as published, primary_category from ({CLEAN}) where primary_category = '{CATEGORY}' order by published desc nulls last, record_id limit 20",
     "keyword_search": "select record_id, title from paper_metadata where contains(lower(coalesce(title, '')), 'neutron star') or contains(lower(coalesce(summary, '')), 'neutron star') or contains(lower(coalesce(authors, '')), 'neutron star') order by record_id limit 10",
@@ -108,6 +113,14 @@ SQL: dict[str, str] = {
  select section, size as doc_count, coalesce(keywords, '') as keywords, 'text' as text_col from sizes left join joined using (section)""",
     "rag_context": f"with {HITS} select context, n_chunks, length(context)::bigint as n_chars from ctx",
     "rag_sources": f"with {HITS} select coalesce(title, 'Untitled') as title, similarity, coalesce(pdf_url, '') as pdf_url from kept",
+    "rag_top_sources": f"with {HITS} select row_number() over (order by similarity desc, vec_id) as rank, coalesce(title, 'Untitled') as title, similarity, coalesce(pdf_url, '') as pdf_url from kept order by rank limit 3",
+    "store_metadata": "select arxiv_id, title, summary, authors, published, updated, primary_category, pdf_url from paper_metadata",
+    "store_clean": f"select * exclude (record_id) replace (published::varchar as published, updated::varchar as updated) from ({CLEAN})",
+    "store_best_corpus": f"""with lead as (select *, array_to_string(list_slice(string_split({_clean('text_unit')}, ' '), 1, 40), ' ') as l from ({CLEAN}))
+ select * exclude (record_id, l) replace (published::varchar as published, updated::varchar as updated), coalesce(nullif(regexp_extract(l, '^((?:[^ ]+ ){{11,}}[^ ]*[.!?])(?: |$)', 1), ''), l) as summary from lead""",
+    "store_embeddings": f"select arxiv_id, title_clean as title, published::varchar as published, updated::varchar as updated, pdf_url, 'text_unit' as embedded_text_col, 'hashing-64' as embedding_model, {DIMENSIONS}::bigint as dimensions from ({CLEAN}) where not ({_blank('text_unit')})",
+    "store_topics_csv": f"select topic_row, run_id, topic_id, doc_count, {_csv_cell('keywords')} as keywords, {_csv_cell('text_col')} as text_col from topics",
+    "store_corpus_with_topics": f"select arxiv_id, run_id, title_clean, topic_id::bigint as topic_id from corpus_with_topics where topic_id = {TOPIC}",
     "context_preview": f"with {HITS} select {PREVIEW} as context_preview from ctx",
     "answer_question": f"""with {HITS},
  wanted as (select list_distinct({_words(f"'{QUESTION}'", True)}) as q),

@@ -40,7 +40,7 @@ def embed(store: tables.Store, model: str = "hashing-64", factory: Callable | No
     best = store.best_corpus()
     column = corpus.text_column(best)
     body = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("summary", "abstract_clean", "text_unit") if c in best.columns], F.lit(""))
-    shown = [F.col("title_clean").alias("title"), body.alias("body"), "pdf_url"]
+    shown = [F.col("title_clean").alias("title"), body.alias("body"), *[c for c in corpus.INDEX_COLUMNS if c in best.columns and c != "title"]]
     rows = corpus.dense_index(corpus.nonempty(best, column).select("arxiv_id", F.col(column).alias("_text"), *shown), ["arxiv_id", "_text"])
     rows = rows.withColumns({"embedded_text_col": F.lit(column), "embedding_model": F.lit(model)})
     tables.write(models.embed(rows, "_text", factory=factory).drop("_text"), store.path("embeddings"))
@@ -73,5 +73,7 @@ def retrieve(store: tables.Store, query: str, k: int = 5, model: str = "hashing-
     return hits.join(shown, "row_idx")  # k rows; sent to the index by their size
 
 
-def answer_question(store: tables.Store, question: str, query: str | None = None, k: int = 5, max_chars: int = rag.MAX_CHARS) -> DataFrame:
-    return rag.answer(retrieve(store, query or question, k), "row_idx", question, max_chars)
+def answer_question(store: tables.Store, question: str, query: str | None = None, k: int = 5, max_chars: int = rag.MAX_CHARS, model: str = "hashing-64", factory: Callable | None = None, reader: Callable | None = None) -> DataFrame:
+    """``factory`` makes the embedder that the index was built with, ``reader`` what
+    answers from the context."""
+    return rag.answer(retrieve(store, query or question, k, model, factory), "row_idx", question, max_chars, reader)

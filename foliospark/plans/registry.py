@@ -11,9 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark import schemas
 from foliospark.functions import text, vectors
 from foliospark.operators import corpus, models, packed, rag, retrieval, search, tfidf, topics
-from foliospark.session import spread
+from foliospark.plans import pipeline
+from foliospark.session import spread, temporary_path
+from foliospark.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,7 +77,7 @@ def topics_per_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def choose_text_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "corpus_with_topics")
-    return df.agg(F.when(F.coalesce(F.bool_or(F.col("summary").isNotNull()), F.lit(False)), "summary").otherwise("text_unit").alias("text_col"), F.count(F.lit(1)).alias("n"))
+    return df.agg(F.lit(corpus.text_column(df)).alias("text_col"), F.count(F.lit(1)).alias("n"))
 
 
 def nonempty_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +227,10 @@ def rag_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rag.sources(_hits(spark, sf_dir, 10), "vec_id", 2500)
 
 
+def rag_top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rag.top_sources(_hits(spark, sf_dir, 10), "vec_id", 2500)
+
+
 def context_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rag.context(_hits(spark, sf_dir, 10), "vec_id", 2500).select(text.preview(F.col("context")).alias("context_preview"))
 
@@ -241,6 +248,57 @@ def embed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.hashed_embedding(_texts(spark, sf_dir, "paper_metadata"), "record_id", "summary")
 
 
+# --- tables between the stages, written and read again
+
+
+def _store(spark: SparkSession, sf_dir: str) -> tables.Store:
+    store = tables.Store(spark, temporary_path(spark, "store"))
+    tables.write_metadata(_papers(spark, sf_dir).select(*schemas.METADATA.names), store.path("metadata"))
+    return store
+
+
+def store_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata; fetching nothing leaves it as it was."""
+    store = _store(spark, sf_dir)
+    tables.write_metadata(store.metadata().limit(0), store.path("metadata"))
+    return store.metadata()
+
+
+def store_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _days_as_text(pipeline.clean(_store(spark, sf_dir)))
+
+
+def store_best_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with summaries, which is better than the clean one."""
+    store = _store(spark, sf_dir)
+    pipeline.clean(store)
+    pipeline.summarise(store, max_length=40, min_length=12)
+    return _days_as_text(store.best_corpus())
+
+
+def store_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index keeps of each row with text, without the vectors' values."""
+    store = _store(spark, sf_dir)
+    pipeline.clean(store)
+    index = pipeline.embed(store)
+    return _days_as_text(index.select("arxiv_id", *corpus.INDEX_COLUMNS, "embedded_text_col", "embedding_model", F.size("embedding").cast("bigint").alias("dimensions")))
+
+
+def store_topics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics through CSV: types come back, cells that say "missing" are null."""
+    df = table(spark, sf_dir, "topics").select("topic_row", "run_id", "topic_id", "doc_count", "keywords", "text_col")
+    path = temporary_path(spark, "csv")
+    tables.write_csv(df, path)
+    return tables.read_csv(spark, path, df.schema)
+
+
+def store_corpus_with_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One topic of the corpus laid out by topic: a scan of its folder only."""
+    store = tables.Store(spark, temporary_path(spark, "store"))
+    tables.write(table(spark, sf_dir, "corpus_with_topics"), store.path("corpus_with_topics"), partition_by="topic_id")
+    return store.corpus_with_topics().where(F.col("topic_id") == TOPIC).select("arxiv_id", "run_id", "title_clean", F.col("topic_id").cast("bigint").alias("topic_id"))
+
+
 # --- packed fields
 
 
@@ -255,7 +313,8 @@ def queries() -> dict[str, Query]:
         newest_first_limit, category_filter, keyword_search, keyword_search_regex, keyword_empty_query, topic_sizes, topic_browse, topic_list,
         l2_normalize, dot_all, semantic_top_k, semantic_top_k_batch, centroids, assign_nearest,
         tokenize_counts, bigrams, tfidf_topterms, topic_keywords, kmeans_topics,
-        rag_context, rag_sources, context_preview, answer_question, summarize_docs, embed_docs, p5_found,
+        rag_context, rag_sources, rag_top_sources, context_preview, answer_question, summarize_docs, embed_docs,
+        store_metadata, store_clean, store_best_corpus, store_embeddings, store_topics_csv, store_corpus_with_topics, p5_found,
     )
     return {f.__name__: f for f in found}
 

@@ -9,6 +9,7 @@ def _struct(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
+# The columns that tables of this kind have.
 METADATA = _struct(arxiv_id=S, title=S, summary=S, authors=S, published=S, updated=S, primary_category=S, pdf_url=S)
 CORPUS_CLEAN = _struct(arxiv_id=S, title_clean=S, abstract_clean=S, text_unit=S, authors=S, published=D, updated=D, primary_category=S, pdf_url=S)
 CORPUS_WITH_SUMMARIES = T.StructType([*CORPUS_CLEAN.fields, T.StructField("summary", S)])

@@ -85,6 +85,13 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
 
 
+def matching_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of the files that a folder holds or a pattern matches."""
+    at, files = _hadoop(spark, path)
+    found = [s for m in files.globStatus(at) or [] for s in (files.listStatus(m.getPath()) if m.isDirectory() else [m])]
+    return sorted(s.getPath().getName() for s in found)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     at, files = _hadoop(spark, path)
     stream = files.open(at)

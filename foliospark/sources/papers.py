@@ -2,7 +2,9 @@
 
 Options: ``path`` (files of JSON lines or CSV with the metadata's columns, or
 with ``authors`` as a list), ``query`` (words that title or summary must hold),
-``category``, ``max_results`` (newest first; 20). A folder's files are its
+``category``, or both as one ``search`` string, ``max_results`` (newest first;
+20). This source reads files of the machines it runs on; ``read_papers`` reads the
+same files from any file system of Spark, split and in parallel. A folder's files are its
 partitions; each reads itself and keeps its newest rows, so no more than
 ``max_results`` rows per file leave a worker.
 """
@@ -15,11 +17,18 @@ import json
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from foliospark import schemas
+from foliospark.functions import text
+from foliospark.operators.search import newest_first, parse_source_query, source_query
+from foliospark.session import matching_names
+
+# The fields of an entry.
+ENTRY = StructType([StructField(n, StringType()) for n in ("arxiv_id", "entry_id", "title", "summary", "authors", "published", "updated", "primary_category", "pdf_url")])
 
 
 class _File(InputPartition):
@@ -44,8 +53,9 @@ def to_record(entry: dict) -> tuple[str, ...]:
 class PapersReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options.get("path", "")
-        self.words = options.get("query", "").lower().split()
-        self.category = options.get("category", "")
+        query, category = parse_source_query(options.get("search", ""))
+        self.words = (options.get("query", "") or query).lower().split()
+        self.category = options.get("category", "") or category
         self.most = int(options.get("max_results", "20"))
 
     def partitions(self) -> list[InputPartition]:
@@ -85,11 +95,31 @@ class PapersSource(DataSource):
         return PapersReader(self.options)
 
 
-def fetch_papers(spark: SparkSession, path: str, query: str = "", category: str | None = None, max_results: int = 20):
-    """The newest ``max_results`` papers of the source that match."""
-    from foliospark.operators.search import newest_first
-
-    spark.dataSource.register(PapersSource)
-    reader = spark.read.format("papers").option("query", query).option("max_results", max_results)
-    found = (reader.option("category", category) if category else reader).load(path)
+def read_papers(spark: SparkSession, path: str) -> DataFrame:
+    """The records of JSON-line and CSV files of a folder, file or pattern on any
+    file system that Spark reads; a line that is no JSON is an error."""
+    wanted = [f.name for f in ENTRY]
+    lines = spark.read.option("pathGlobFilter", "*.{json,jsonl}").text(path).where(F.trim("value") != "")
+    entries = lines.select(F.from_json("value", ENTRY, {"mode": "FAILFAST"}).alias("e")).select("e.*")
+    if any(n.endswith(".csv") for n in matching_names(spark, path)):
+        raw = spark.read.option("pathGlobFilter", "*.csv").option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        entries = entries.unionByName(raw.select(*[(F.col(c) if c in raw.columns else F.lit(None)).cast("string").alias(c) for c in wanted]))
+    listed = F.when(F.col("authors").rlike(r"^\s*\["), F.transform(F.from_json("authors", "array<string>"), lambda a: F.coalesce(F.get_json_object(a, "$.name"), a)))
+    made = {c: text.ingest_text(F.col(c)) for c in ("title", "summary")}
+    made["arxiv_id"] = text.short_id(text.ingest_text(text.first_filled(F.col("arxiv_id"), F.col("entry_id"))))
+    made["authors"] = text.as_text(F.coalesce(F.array_join(listed, ", "), F.col("authors")))
+    made |= {c: F.substring(text.ingest_text(F.col(c)), 1, 10) for c in ("published", "updated")}
+    made |= {c: text.as_text(F.col(c)) for c in ("primary_category", "pdf_url")}
+    return entries.select(*[F.when(made[c].isNotNull(), made[c]).alias(c) for c in schemas.METADATA.names])
+
+
+def fetch_papers(spark: SparkSession, path: str, query: str = "", category: str | None = None, max_results: int = 20) -> DataFrame:
+    """The newest ``max_results`` papers of the source that match its search string."""
+    asked, wanted = parse_source_query(source_query(query, category))
+    found = read_papers(spark, path)
+    if wanted:
+        found = found.where(F.col("primary_category") == wanted)
+    said = F.lower(F.concat_ws(" ", "title", "summary"))
+    for word in asked.lower().split():
+        found = found.where(said.contains(word))
     return newest_first(found, "published", ["arxiv_id"], max_results)

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark import schemas
-
 # Cells that common CSV readers take as missing.
 NULL_CELLS = ("", "#N/A", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -30,7 +28,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write(df: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -82,5 +80,3 @@ class Store:
     def corpus_with_topics(self) -> DataFrame:
         return _load(self.spark, self.path("corpus_with_topics"), "corpus with topics", "topics")
 
-
-METADATA_SCHEMA = schemas.METADATA

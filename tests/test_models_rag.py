@@ -62,6 +62,22 @@ def test_answer(spark):
     assert r.answer == "Copper is red" and r.error is None and [tuple(s) for s in r.sources] == [("a", 0.9, "u")] and 0 < r.score <= 1
 
 
+def test_answer_of_a_reader_of_ones_own(spark):
+    class Last:
+        def answer(self, question, context):
+            return context.split()[-1] + question, 0.25
+
+    df = spark.createDataFrame([(1, 0.9, "a", "Graphene is strong.", "u")], HITS)
+    r = rag.answer(df, "id", "?", reader=Last).first()
+    assert (r.answer, r.score, r.error) == ("strong.?", 0.25, None)
+    assert rag.answer(df.limit(0), "id", "?", reader=Last).first().answer == ""
+
+
+def test_top_sources(spark):
+    df = spark.createDataFrame([(i, 1 - i / 10, f"t{i}", "b", None) for i in range(5)], HITS)
+    assert [(r.rank, r.title, r.pdf_url) for r in rag.top_sources(df, "id").collect()] == [(1, "t0", ""), (2, "t1", ""), (3, "t2", "")]
+
+
 def test_answer_without_context(spark):
     r = rag.answer(spark.createDataFrame([], HITS), "id", "q").first()
     assert (r.answer, r.score, r.sources, r.context_preview, r.error) == ("", 0.0, [], "", rag.NO_CONTEXT)

@@ -27,6 +27,7 @@ AUTHORS = [
     ('"never closed, C D', ['"never closed', "C D"]),
     ("O'Brien Pat, C D", ["O'Brien Pat", "C D"]),
     ("A Sand, B Land", ["A Sand", "B Land"]),
+    ("A\ufdd0B X, C\ufdd5D Y and \ufdd3E Z", ["AB X", "CD Y", "E Z"]),  # noncharacters are used inside
     ("[]", []), ("", []), ("  ", []), (None, []), ("[ ]", []), (", ;", []), ('""', []), ("et al.", []),
 ]
 WORDS = [

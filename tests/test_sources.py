@@ -36,6 +36,20 @@ def test_papers_source(spark, folder):
     assert papers.fetch_papers(spark, str(folder)).schema == schemas.METADATA
 
 
+def test_papers_source_of_python_reads_the_search_string(spark, folder):
+    spark.dataSource.register(papers.PapersSource)
+    search = "cat:cs.CL AND (the glacier)"
+    by_source = spark.read.format("papers").option("search", search).load(str(folder))
+    assert rows(by_source) == rows(papers.fetch_papers(spark, str(folder), "the glacier", "cs.CL")) and by_source.count() == 2
+
+
+def test_papers_of_csv_files_and_listed_authors(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('title,arxiv_id,authors,published\n"A ""b""\nc",1,"X, Y",2020-01-02T03\n')
+    (tmp_path / "b.json").write_text(json.dumps({"arxiv_id": "2", "authors": ["P", "Q"], "published": "2020-01-03"}) + "\n")
+    got = [(r.arxiv_id, r.title, r.authors, r.published, r.summary) for r in papers.fetch_papers(spark, str(tmp_path)).collect()]
+    assert got == [("2", "", "P, Q", "2020-01-03", ""), ("1", 'A "b" c', "X, Y", "2020-01-02", "")]
+
+
 def test_csv_keeps_breaks_and_quotes_and_reads_missing_cells(spark, tmp_path):
     data = [("1", 'a "b"\nc', "NA"), ("2", "x,y", "2020-01-02")]
     df = spark.createDataFrame(data, "id string, t string, d string")

@@ -54,7 +54,9 @@ def test_centroids_and_assignment(spark):
     assert rows(retrieval.assign_nearest(df, "id", "v", means, "g")) == [(1, 0), (2, 0), (3, 1), (4, 0)]  # the last is equally near
 
 
-def test_too_many_groups(spark):
-    df = spark.createDataFrame([(i, [1.0], i) for i in range(4)], "id bigint, v array<float>, g int")
-    with pytest.raises(ValueError, match="groups"):
-        retrieval.assign_nearest(df, "id", "v", retrieval.centroids(df, "g", "v"), "g", most_groups=3)
+def test_many_groups_in_several_passes(spark):
+    df = spark.createDataFrame([(i, [float(i // 2)], i) for i in range(7)] + [(7, None, None), (8, [1.0, 2.0], None)], "id bigint, v array<float>, g int")
+    means = retrieval.centroids(df.where("g is not null"), "g", "v")
+    for most in (2, 3, 100):
+        got = rows(retrieval.assign_nearest(df, "id", "v", means, "g", most_groups=most))
+        assert got == [(i, i // 2 * 2) for i in range(7)] + [(7, None), (8, None)]
