@@ -7,6 +7,17 @@ import numpy as np
 from foliospark.llm.words import gram_rows
 
 
+def distinct_grams(words: np.ndarray, offsets: np.ndarray, k: int = 3) -> np.ndarray:
+    """Distinct sequences of ``k`` successive words of each text."""
+    g, starts = gram_rows(words, offsets, k)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(starts))
+    order = np.lexsort((g, row))
+    r, g = row[order], g[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (r[1:] != r[:-1]) | (g[1:] != g[:-1])
+    return np.bincount(r[new], minlength=len(offsets) - 1).astype(np.int32)
+
+
 def common_share(wa: np.ndarray, oa: np.ndarray, wb: np.ndarray, ob: np.ndarray, k: int = 3) -> np.ndarray:
     """Share of common sequences of ``k`` successive words in all distinct ones,
     exactly, for each pair of rows. Two empty texts have share 0."""

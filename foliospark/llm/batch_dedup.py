@@ -42,7 +42,7 @@ CHUNK = 1 << 16
 #: Rows that a range of a run or of the texts has on average, and the most ranges.
 RANGE_ROWS, MOST_BITS = 50_000, 14
 
-SKETCHED = "id bigint, ik bigint, tx bigint, day date, fp bigint, keys array<bigint>, words array<int>"
+SKETCHED = "id bigint, ik bigint, tx bigint, day date, fp bigint, n3 int, keys array<bigint>, words array<int>"
 RECORDS, RUN, TEXTS, LINKS = "id bigint, ik bigint, tx bigint, day date", "key bigint, tx bigint, fp bigint", "tx bigint, words array<int>", "a bigint, b bigint"
 
 

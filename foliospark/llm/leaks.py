@@ -1,8 +1,9 @@
 """Problem 8: passages of evaluation items inside training text.
 
-Items are a stated query set: they are taken in blocks of ``BLOCK`` items, and
-each block is compared with every document where the document lies, so nothing
-is shuffled but counts. One pass counts in how many documents each four-word
+Items are a stated query set: every text is read once for ``LEXICON_ITEMS`` items
+and written as numbers of the words that these items have. Items are then taken
+in blocks of ``BLOCK``, and each block is compared with the numbers of every
+document where they lie, so nothing is shuffled but counts. One pass counts in how many documents each four-word
 sequence of the items occurs. Of each ``STRETCH`` successive sequences of a
 passage the one in the fewest documents is a seed, so any quotation of fifteen
 words holds a seed however often it leaked. A second pass looks the seeds up;
@@ -30,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.words import grams
+from foliospark.llm.words import flat, grams
+from foliospark.session import materialise
 
 SEED_WORDS, STRETCH, RUN = 4, 8, 15
 #: An edited copy aligns with so much of the passage, with so many equal words.
 COVER, EQUAL = 0.9, 0.75
-BLOCK = 4000
+BLOCK, LEXICON_ITEMS = 4000, 40_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: What an edited copy scores for each word of the passage. Every place of the
 #: alignment that is no match costs 1, so of n words at least SAME * n are
@@ -88,15 +90,16 @@ class Block:
     items: np.ndarray  # their keys
     words: list[np.ndarray]
     typed: list[np.ndarray]  # for each word, the number of the typed word it is of
-    lexicon: Lexicon
+    lexicon: Lexicon | None
     grams: np.ndarray  # distinct sequences of the block, sorted
     need: np.ndarray  # for each item, the words that an edited copy has at least
     holders: tuple[np.ndarray, np.ndarray, np.ndarray]  # first entry of each word; items and times of the entries
     seeds: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # sequence, item, place
 
 
-def make_block(rows: list[tuple[int, str]]) -> Block:
-    lexicon, keys, words, typed = Lexicon(), [], [], []
+def make_block(rows: list[tuple[int, str]], lexicon: Lexicon | None = None) -> Block:
+    lexicon = Lexicon() if lexicon is None else lexicon
+    keys, words, typed = [], [], []
     for key, text in rows:
         pieces = [_WORD.findall(x) for x in plain(passage_of(text or "")).split()]
         of = [i for i, p in enumerate(pieces) for _ in p]
@@ -197,7 +200,7 @@ def leaked_items(doc: np.ndarray, block: Block) -> list[int]:
 def _with_enough_words(doc: np.ndarray, block: Block) -> list[int]:
     """Items of which the document has as many words as an edited copy has."""
     starts, item, times = block.holders
-    words, n = np.unique(doc[doc >= 0], return_counts=True)
+    words, n = np.unique(doc[(doc >= 0) & (doc < len(starts) - 1)], return_counts=True)  # later blocks have more words
     low, count = starts[words], starts[words + 1] - starts[words]
     at = np.arange(count.sum()) + np.repeat(low - np.cumsum(count) + count, count)
     same = np.bincount(item[at], np.minimum(times[at], np.repeat(n, count)), minlength=len(block.need))
@@ -221,16 +224,34 @@ def _edited_copy(doc: np.ndarray, passage: np.ndarray, need: int) -> bool:
     return False
 
 
+def _read(lexicon: Lexicon):
+    """(doc_id, words): texts as numbers; a text with too few known words for any
+    sequence is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, found = [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = lexicon.read(text)
+                if np.count_nonzero(words >= 0) >= SEED_WORDS:
+                    keys.append(key)
+                    found.append(words)
+            ends = np.concatenate([[0], np.cumsum([len(w) for w in found])]).astype(np.int32)
+            values = np.concatenate(found) if found else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "words"])
+
+    return run
+
+
 def _count(block: Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(block.grams), np.int64)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                w = block.lexicon.read(text or "")
-                if len(w) >= SEED_WORDS:
-                    g = np.unique(grams(w, SEED_WORDS))
-                    at = np.minimum(np.searchsorted(block.grams, g), len(total) - 1)
-                    total[at[block.grams[at] == g]] += 1
+            words, ends = flat(b.column(0))
+            for begin, end in zip(ends, ends[1:], strict=False):
+                g = np.unique(grams(words[begin:end], SEED_WORDS))
+                at = np.minimum(np.searchsorted(block.grams, g), len(total) - 1)
+                total[at[block.grams[at] == g]] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "documents"])
 
@@ -240,39 +261,48 @@ def _count(block: Block):
 def _find(block: Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            words, ends = flat(b.column(1))
             docs, items = [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if text and key is not None:
-                    for i in leaked_items(block.lexicon.read(text), block):
-                        docs.append(key)
-                        items.append(int(block.items[i]))
+            for key, begin, end in zip(b.column(0).to_pylist(), ends, ends[1:], strict=False):
+                for i in leaked_items(words[begin:end], block):
+                    docs.append(key)
+                    items.append(int(block.items[i]))
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], names=["doc_id", "item_id"])
 
     return run
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, block_items: int = BLOCK) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, block_items: int = BLOCK, lexicon_items: int = LEXICON_ITEMS) -> DataFrame:
     """(doc_id, item_id): documents that hold an item's passage."""
     spark = docs.sparkSession
-    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.make_valid_utf8("text").alias("text"))
+    text = docs.where("doc_id is not null and text != ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.make_valid_utf8("text").alias("text"))
     asked = items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     found, pending = spark.createDataFrame([], "doc_id bigint, item_id bigint"), []
 
     def look_for(rows: list[tuple[int, str]]) -> None:
         nonlocal found
-        block = make_block(rows)
-        if not len(block.items):
+        lexicon = Lexicon()
+        blocks = [make_block(rows[i : i + block_items], lexicon) for i in range(0, len(rows), block_items)]
+        blocks = [b for b in blocks if len(b.items)]
+        if not blocks:
             return
-        counts = text.select("text").mapInArrow(_count(block), "gram bigint, documents bigint").groupBy("gram").agg(F.sum("documents").alias("n"))
-        documents = np.zeros(len(block.grams), np.int64)
-        for row in counts.toLocalIterator():  # as many as the block has sequences
-            documents[row["gram"]] = row["n"]
-        choose_seeds(block, documents)
-        found = found.unionByName(text.mapInArrow(_find(block), "doc_id bigint, item_id bigint"))
+        for block in blocks:
+            block.lexicon = None  # words are numbers from here on
+        words = materialise(text.mapInArrow(_read(lexicon), "doc_id bigint, words array<int>"), "words")
+        part = None
+        for block in blocks:
+            counts = words.select("words").mapInArrow(_count(block), "gram bigint, documents bigint").groupBy("gram").agg(F.sum("documents").alias("n"))
+            documents = np.zeros(len(block.grams), np.int64)
+            for row in counts.toLocalIterator():  # as many as the block has sequences
+                documents[row["gram"]] = row["n"]
+            choose_seeds(block, documents)
+            here = words.mapInArrow(_find(block), "doc_id bigint, item_id bigint")
+            part = here if part is None else part.unionByName(here)
+        found = found.unionByName(materialise(part, "leaks"))
 
     for row in asked.toLocalIterator():
         pending.append((row["item_id"], row["text"]))
-        if len(pending) == block_items:
+        if len(pending) == lexicon_items:
             look_for(pending)
             pending = []
     look_for(pending)

@@ -1,8 +1,10 @@
 """Problem 6: near-duplicate records with small edits.
 
 Order MinHash keys bring candidates together, a fingerprint turns away chance
-meetings, banded alignment gives the word edits of each candidate, and the exact
-share of common three-word sequences decides. Equal normalised texts are one
+meetings, and banded alignment gives the word edits of each candidate. An edit
+changes three sequences of three words at most on either side, so few edits prove
+the share of common sequences; where they do not (texts whose sentences changed
+places), the exact share decides. Equal normalised texts are one
 class from the start; only one text of a class is sketched and compared, and
 classes are spread out to pairs of rows at the end, as the result asks for.
 
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import align, omh
-from foliospark.llm.graph import bucket_pairs
+from foliospark.llm.graph import bucket_pairs, connected_components
 from foliospark.llm.words import flat, normalised, word_hashes
 from foliospark.session import materialise
 
@@ -31,7 +33,7 @@ GRAM, ELL = 4, 3
 LEAST_FIELDS = 6
 FIELD_BITS = 0x0249249249249249
 
-SKETCH_SCHEMA = "id bigint, tx bigint, fp bigint, keys array<bigint>, words array<int>"
+SKETCH_SCHEMA = "id bigint, tx bigint, fp bigint, n3 int, keys array<bigint>, words array<int>"
 
 
 def record_text(title: Column, summary: Column) -> Column:
@@ -48,10 +50,11 @@ def texts(df: DataFrame, key: str, text: Column) -> DataFrame:
 
 def sketcher(gram: int, ell: int, keys: int, carry: list[str]):
     """For mapInArrow over rows with tx and words: the columns of ``carry``, then
-    fp, keys and words, null for texts that the partition has had already."""
+    fp, n3 (distinct three-word sequences), keys and words; the last two are null
+    for texts that the partition has had already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.empty(0, np.int64)
+        seen: set[int] = set()
         for b in batches:
             n = b.num_rows
             if not n:
@@ -60,14 +63,16 @@ def sketcher(gram: int, ell: int, keys: int, carry: list[str]):
             tx = b.column("tx").fill_null(0).to_numpy()
             _, at = np.unique(tx[rows], return_index=True)
             first = np.sort(rows[at])
-            first = first[~np.isin(tx[first], seen)]
-            seen = np.union1d(seen, tx[first])
+            first = first[np.array([t not in seen for t in tx[first].tolist()], bool)]
+            seen.update(tx[first].tolist())
             words, offsets = flat(b.column("words").take(pa.array(first)))
             sketched, prints = omh.sketch(words, offsets, gram, ell)
             fp = np.zeros(n, np.int64)
             fp[first] = prints
+            n3 = np.zeros(n, np.int32)
+            n3[first] = align.distinct_grams(words, offsets)
             lists = [_spread(n, first, sketched[:, :keys].ravel(), np.full(len(first), keys)), _spread(n, first, words, np.diff(offsets))]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(fp), *lists], names=[*carry, "fp", "keys", "words"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(fp), pa.array(n3), *lists], names=[*carry, "fp", "n3", "keys", "words"])
 
     return run
 
@@ -91,35 +96,57 @@ def agreeing_fields(x: Column, y: Column) -> Column:
     return F.lit(omh.SKETCHES) - F.bit_count(d.bitwiseAND(F.lit(FIELD_BITS)))
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (wa, oa), (wb, ob) = flat(b.column("wa")), flat(b.column("wb"))
+            edits = align.banded_edits(wa, oa, wb, ob)
+            longest = np.maximum(np.maximum(np.diff(oa), np.diff(ob)), 1)
+            most = np.maximum(b.column("na").to_numpy(), b.column("nb").to_numpy())
+            share = 1 - 6 * edits / np.maximum(most, 1)  # proven by the edits
+            open_ = np.flatnonzero((share < threshold) | (most == 0))
+            some = b.take(pa.array(open_))
+            share[open_] = align.common_share(*flat(some.column("wa")), *flat(some.column("wb")))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(share), pa.array(1 - edits / longest)], names=["a", "b", "share", "edit_similarity"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        (wa, oa), (wb, ob) = flat(b.column("wa")), flat(b.column("wb"))
-        share = align.common_share(wa, oa, wb, ob)
-        edits = align.banded_edits(wa, oa, wb, ob)
-        longest = np.maximum(np.maximum(np.diff(oa), np.diff(ob)), 1)
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(share), pa.array(1 - edits / longest)], names=["a", "b", "share", "edit_similarity"])
+        share = align.common_share(*flat(b.column("wa")), *flat(b.column("wb")))
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(share)], names=["a", "b", "share"])
+
+
+def _with_words(pairs: DataFrame, docs: DataFrame, more: dict[str, str]) -> DataFrame:
+    """Pairs with the words, and ``more``, of both texts; any row of a text serves."""
+    one = docs.dropDuplicates(["tx"])
+    for s in ("a", "b"):
+        pairs = pairs.join(one.select(F.col("tx").alias(s), F.col("words").alias(f"w{s}"), *[F.col(c).alias(f"{short}{s}") for c, short in more.items()]), s)
+    return pairs
 
 
 def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, share, edit_similarity) of the pairs of texts that reach it.
+    """(a, b, share) of the pairs of texts that reach the threshold; ``docs``: (tx, words)."""
+    return _with_words(pairs, docs, {}).mapInArrow(_shared, "a bigint, b bigint, share double").where(F.col("share") >= threshold)
 
-    ``docs``: (tx, words), any row of a text serves.
-    """
-    one = docs.dropDuplicates(["tx"])
-    full = pairs.join(one.select(F.col("tx").alias("a"), F.col("words").alias("wa")), "a")
-    full = full.join(one.select(F.col("tx").alias("b"), F.col("words").alias("wb")), "b")
-    return full.mapInArrow(_verified, "a bigint, b bigint, share double, edit_similarity double").where(F.col("share") >= threshold)
+
+def align_pairs(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, share, edit_similarity) of the pairs of texts that reach the
+    threshold; ``share`` is what the edits prove, or exact where that is too little.
+    ``docs``: (tx, words, n3)."""
+    full = _with_words(pairs, docs, {"n3": "n"})
+    return full.mapInArrow(_verified(threshold), "a bigint, b bigint, share double, edit_similarity double").where(F.col("share") >= threshold)
 
 
 def similar_texts(df: DataFrame, key: str, text: Column, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members: id, tx; links between different texts: a, b, share, edit_similarity)."""
     table = materialise(sketch_table(df, key, text), "sketches")
     rows = table.where("keys is not null").select("tx", "fp", F.explode("keys").alias("key"))
-    rows = rows.repartition("key").dropDuplicates(["key", "tx"])
     pairs = bucket_pairs(rows, "key", "tx", ["fp"])
     pairs = pairs.where(agreeing_fields(F.col("fp_a"), F.col("fp_b")) >= LEAST_FIELDS)
     pairs = pairs.select(F.col("tx_a").alias("a"), F.col("tx_b").alias("b")).distinct()
-    links = verify(pairs, table.where("words is not null").select("tx", "words"), threshold)
+    links = align_pairs(pairs, table.where("words is not null").select("tx", "words", "n3"), threshold)
     return table.select("id", "tx").distinct(), links
 
 
@@ -135,5 +162,24 @@ def similar_records(df: DataFrame, key: str, text: Column, threshold: float = TH
     return both.select(F.least("ia", "ib").alias("record_a"), F.greatest("ia", "ib").alias("record_b"))
 
 
+def similar_classes(df: DataFrame, key: str, text: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """(record_id, class_id, n_links, edit_similarity): every row with a text with
+    the smallest row of its class, the number of other texts its text is linked
+    with and the highest edit similarity among these (null without a link).
+    Rows linked through others are in one class; copies are not spread to pairs."""
+    members, links = similar_texts(df, key, text, threshold)
+    links, members = materialise(links, "links"), materialise(members, "members")
+    of = connected_components(links, "a", "b")
+    both = links.select(F.explode(F.array("a", "b")).alias("tx"), "edit_similarity").groupBy("tx").agg(F.count(F.lit(1)).alias("n_links"), F.max("edit_similarity").alias("edit_similarity"))
+    texts_of = members.groupBy("tx").agg(F.min("id").alias("first")).join(of, F.col("tx") == F.col("node"), "left").withColumn("root", F.coalesce("root", "tx"))
+    first = texts_of.groupBy("root").agg(F.min("first").alias("class_id"))
+    placed = texts_of.join(first, "root").join(both, "tx", "left").select("tx", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.round("edit_similarity", 6).alias("edit_similarity"))
+    return members.join(placed, "tx").select(F.col("id").alias("record_id"), "class_id", "n_links", "edit_similarity")
+
+
+def classes_of_papers(papers: DataFrame) -> DataFrame:
+    return similar_classes(papers, "record_id", record_text(F.col("title"), F.col("summary")))
+
+
 def find_similar_papers(papers: DataFrame) -> DataFrame:
     return similar_records(papers, "record_id", record_text(F.col("title"), F.col("summary")))

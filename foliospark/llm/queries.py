@@ -46,6 +46,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.find_similar_papers(_table(spark, sf_dir, "paper_metadata"))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paper with its class of nearly equal ones, its links and best alignment."""
+    return near_duplicates.classes_of_papers(_table(spark, sf_dir, "paper_metadata"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return tokenizer.encode_documents(_table(spark, sf_dir, "documents"))
@@ -62,7 +67,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p2_found, p3_found, p3_clusters, p4_found, p6_found, p7_ids, p8_found, p9_found)
+    found = (p1_found, p2_found, p3_found, p3_clusters, p4_found, p6_found, p6_classes, p7_ids, p8_found, p9_found)
     return {f.__name__: f for f in found}
 
 

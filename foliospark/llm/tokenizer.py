@@ -21,6 +21,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,8 +166,13 @@ def load_encoder(path: str) -> BytePairEncoder:
 def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary_path: str = DEFAULT_PATH) -> DataFrame:
     """(doc_id, ids): the ids of each text, without special tokens."""
 
+    name = os.path.basename(vocabulary_path)
+    if os.path.exists(vocabulary_path):  # the driver's file goes to all workers
+        docs.sparkSession.sparkContext.addFile(vocabulary_path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoder(vocabulary_path).encode
+        sent = SparkFiles.get(name)
+        encode = load_encoder(sent if os.path.exists(sent) else vocabulary_path).encode
         for b in batches:
             ids = [encode(t) if t else [] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])

@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
-
 
 def normalised(text: Column) -> Column:
     """Lower case; tags, TeX commands, entities, punctuation and layout become

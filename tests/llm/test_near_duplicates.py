@@ -91,6 +91,28 @@ def test_pairs_equal_brute_force(papers):
     assert set(got) == expected and (1, 4) in expected and (12, 13) in expected
 
 
+def test_classes_equal_brute_force(papers):
+    pairs = {tuple(r) for r in nd.find_similar_papers(papers).collect()}
+    got = {r.record_id: r for r in nd.classes_of_papers(papers).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6, 12, 13}
+    root = {i: i for i in got}
+    for a, b in sorted(pairs) * 3:
+        root[a] = root[b] = min(root[a], root[b])
+    assert {i: r.class_id for i, r in got.items()} == root
+    assert got[6].n_links == 0 and got[6].edit_similarity is None and got[12].n_links == 0
+    assert got[1].n_links == 2 and 0.9 < got[3].edit_similarity < 1
+
+
+@settings(max_examples=40, deadline=None)
+@given(words.filter(len), words)
+def test_edits_prove_a_share(a, b):
+    wa, oa = lines([a])
+    wb, ob = lines([b])
+    most = max(align.distinct_grams(wa, oa)[0], align.distinct_grams(wb, ob)[0])
+    assert align.distinct_grams(wa, oa)[0] == len({tuple(a[i : i + 3]) for i in range(len(a) - 2)} or {tuple(a)})
+    assert 1 - 6 * align.banded_edits(wa, oa, wb, ob)[0] / most <= share(a, b) + 1e-9
+
+
 def test_empty_table(spark):
     assert nd.find_similar_papers(spark.createDataFrame([], PAPER)).count() == 0
 
