@@ -47,7 +47,7 @@ TABLES = 4
 CELL_TARGET = 24_000
 CELL_ROWS = 40_000
 #: Rows that a task of the search is given on average.
-TASK_ROWS = 30_000
+TASK_ROWS = 8_000
 HEAVY = 64
 COARSE_W, FINE_W = 2.5, 2.0
 #: ln(1 / chance that two unlike unit vectors share a hash) at these widths
