@@ -42,7 +42,7 @@ CHUNK = 1 << 16
 #: Rows that a range of a run or of the texts has on average, and the most ranges.
 RANGE_ROWS, MOST_BITS = 50_000, 14
 
-SKETCHED = "id bigint, ik bigint, tx bigint, day date, fp bigint, n3 int, keys array<bigint>, words array<int>"
+SKETCHED = "id bigint, ik bigint, tx bigint, day date, fp bigint, keys array<bigint>, words array<int>"
 RECORDS, RUN, TEXTS, LINKS = "id bigint, ik bigint, tx bigint, day date", "key bigint, tx bigint, fp bigint", "tx bigint, words array<int>", "a bigint, b bigint"
 
 
@@ -123,18 +123,19 @@ class History:
         )
         rows = rows.select("id", F.when(F.col("has"), F.col("ik")).alias("ik"), F.when(F.col("norm").isNotNull(), F.xxhash64("norm")).alias("tx"), "day", word_hashes(F.col("norm")).alias("words"))
         path = new_table_path(self.spark, "batch")
-        table = materialise(rows.mapInArrow(sketcher(GRAM, ELL, KEYS, ["id", "ik", "tx", "day"]), SKETCHED), "batch", path)
+        table = materialise(rows.mapInArrow(sketcher(GRAM, ELL, KEYS, ["id", "ik", "tx", "day"], count=False), SKETCHED), "batch", path)
         counted = table.agg(F.count(F.lit(1)), F.count("keys")).first()
         if not counted[0]:
             return
         texts = table.where("keys is not null").select("tx", "words")
         keys = table.where("keys is not null").select(F.explode("keys").alias("key"), "tx", "fp")
-        new = keys.dropDuplicates(["key", "tx"]).withColumn("new", F.lit(True))
+        new = keys.withColumn("new", F.lit(True))
         if self.tables["runs"]:
             old = self._read("runs", RUN, self._touched(keys, "key"))
-            old = old.join(keys.select("key").distinct(), "key", "left_semi").withColumn("new", F.lit(False))
-            # a text seen before is not new
-            new = new.unionByName(old).groupBy("key", "tx").agg(F.first("fp").alias("fp"), F.min("new").alias("new"))
+            old = old.join(keys.select("key"), "key", "left_semi").withColumn("new", F.lit(False))
+            new = new.unionByName(old)
+        # a text stands under a key once; one seen before is not new
+        new = new.groupBy("key", "tx").agg(F.first("fp").alias("fp"), F.min("new").alias("new"))
         met_path = new_table_path(self.spark, "met")
         met = materialise(new, "met", met_path)
         fresh = met.where("new").select("key", F.col("tx").alias("a"), F.col("fp").alias("fp_a"))
@@ -170,7 +171,9 @@ class History:
             rest = by_size[n:]
             self.tables[kind] = by_size[:n]
             stale += by_size[:n]
-            whole = self._read(kind, schema).dropDuplicates([c for c in ("key", "tx") if c in schema])
+            whole = self._read(kind, schema)
+            if kind == "texts":  # of runs only one has a text
+                whole = whole.dropDuplicates(["tx"])
             self.tables[kind] = rest
             self._write(kind, whole, key, total)
         if stale:

@@ -48,10 +48,10 @@ def texts(df: DataFrame, key: str, text: Column) -> DataFrame:
     return norm.select("id", F.xxhash64("norm").alias("tx"), word_hashes(F.col("norm")).alias("words"))
 
 
-def sketcher(gram: int, ell: int, keys: int, carry: list[str]):
+def sketcher(gram: int, ell: int, keys: int, carry: list[str], count: bool = True):
     """For mapInArrow over rows with tx and words: the columns of ``carry``, then
-    fp, n3 (distinct three-word sequences), keys and words; the last two are null
-    for texts that the partition has had already."""
+    fp, with ``count`` n3 (distinct three-word sequences), keys and words; the last
+    two are null for texts that the partition has had already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -70,9 +70,11 @@ def sketcher(gram: int, ell: int, keys: int, carry: list[str]):
             fp = np.zeros(n, np.int64)
             fp[first] = prints
             n3 = np.zeros(n, np.int32)
-            n3[first] = align.distinct_grams(words, offsets)
+            if count:
+                n3[first] = align.distinct_grams(words, offsets)
+            made = {"fp": pa.array(fp)} | ({"n3": pa.array(n3)} if count else {})
             lists = [_spread(n, first, sketched[:, :keys].ravel(), np.full(len(first), keys)), _spread(n, first, words, np.diff(offsets))]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(fp), pa.array(n3), *lists], names=[*carry, "fp", "n3", "keys", "words"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], *made.values(), *lists], names=[*carry, *made, "keys", "words"])
 
     return run
 
