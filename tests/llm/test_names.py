@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 
@@ -106,3 +107,21 @@ def test_initials_are_not_chained(spark):
     for r in nm.link_spellings(df, "v").collect():
         found.setdefault(r.entity, set()).add(r.name)
     assert list(found.values()) == [together]
+
+
+def test_candidates_do_not_grow_with_the_square_of_a_given_name(spark):
+    """Many people share a given name and an initial; few of them are candidates."""
+    letters = random.Random(1)
+    families = {"h" + "".join(letters.choice("aeiou" if i % 2 else "bdgklmnprst") for i in range(1, 9)) for _ in range(1500)}
+    found = [f"Katherine {f.capitalize()}" for f in sorted(families)]
+    together = {}
+    for i, name in enumerate([*found, "K. Habadat", "Kate Habadat", "Katherine Habadta"]):
+        for key in nm.blocks(name):
+            together.setdefault(key, []).append(i)
+    met = {p for key, ids in together.items() if not key.startswith("w|") for p in itertools.combinations(ids, 2)}
+    assert len(found) > 1400 and len(met) < 20 * len(found)
+    df = spark.createDataFrame([(n,) for n in ["Katherine Habadat", "K. Habadat", "Kate Habadat", "Katherine Habadta", "Katherine Hokulut"]], "v string")
+    groups = {}
+    for r in nm.link_spellings(df, "v").collect():
+        groups.setdefault(r.entity, set()).add(r.name)
+    assert list(groups.values()) == [{"Katherine Habadat", "K. Habadat", "Kate Habadat", "Katherine Habadta"}]
