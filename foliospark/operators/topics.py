@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +17,11 @@ def features(docs: DataFrame, column: str, most: int = tfidf.MAX_FEATURES, stop_
     """Adds ``features``: TF-IDF with idf + 1, length 1."""
     docs = docs.withColumn("_terms", text.terms(F.col(column), stop_words))
     counts = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=most, minDF=1).fit(docs).transform(docs)
-    weighted = IDF(inputCol="_counts", outputCol="_idf").fit(counts).transform(counts)
-    # this IDF lacks the + 1, which adds the counts themselves
-    total = F.zip_with(vector_to_array("_idf"), vector_to_array("_counts"), lambda a, b: a + b)
-    return Normalizer(p=2.0, inputCol="_sum", outputCol="features").transform(weighted.withColumn("_sum", array_to_vector(total))).drop("_terms", "_counts", "_idf", "_sum")
+    idf = IDF(inputCol="_counts", outputCol="_idf").fit(counts).idf
+    # MLlib's idf lacks the + 1; vectors stay sparse, for one has as many places as there are terms
+    weights = Vectors.dense([w + 1 for w in idf])
+    weighted = ElementwiseProduct(scalingVec=weights, inputCol="_counts", outputCol="_weighted").transform(counts)
+    return Normalizer(p=2.0, inputCol="_weighted", outputCol="features").transform(weighted).drop("_terms", "_counts", "_weighted")
 
 
 def build_topics(docs: DataFrame, key: str, topics: int = 8, top: int = tfidf.TOP_TERMS, most: int = tfidf.MAX_FEATURES, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -53,3 +53,12 @@ def test_too_few_documents(spark):
     df = spark.createDataFrame([(i, "a b") for i in range(4)], "id bigint, text_unit string")
     with pytest.raises(ValueError, match="need at least 5"):
         topics.build_topics(df, "id", topics=3)
+
+
+def test_features_stay_sparse(spark):
+    df = spark.createDataFrame([(i, f"word{i} other{i} star") for i in range(200)], "id bigint, t string")
+    got = topics.features(df, "t").collect()
+    assert all(type(r.features).__name__ == "SparseVector" and r.features.size > 500 and len(r.features.values) == 5 for r in got)
+    idf = lambda df: math.log(201 / (1 + df)) + 1
+    length = math.sqrt(idf(200) ** 2 + 4 * idf(1) ** 2)
+    assert all(abs(min(r.features.values) - idf(200) / length) < 1e-12 and abs(max(r.features.values) - idf(1) / length) < 1e-12 for r in got)
