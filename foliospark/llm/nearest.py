@@ -10,9 +10,9 @@ One table is searched after the other, so only one table's copies lie on disk.
 Inside a cell the table's further hashes make
 buckets; a query visits its own bucket and the buckets reached by moving one or
 two hash values to a neighbour, in the order of how likely they hold a near
-vector (the squared distance to the slots' borders). Candidates are screened in
-single precision and reranked by exact cosine in double precision; the tables'
-answers are merged per query.
+vector (the squared distance to the slots' borders). All candidates are compared in
+single precision; those that a bound on the k-th best leaves over are reranked by
+exact cosine in double precision; the tables' answers are merged per query.
 
 A cell that keeps or is visited by more than ``cell_rows`` rows is cut into blocks
 of kept rows and blocks of queries; each pair of blocks is a group of its own, so
@@ -56,6 +56,8 @@ COARSE_LOG, FINE_LOG = 0.47, 0.6
 NEAR, MISS = 0.5, 0.02
 BUCKET_TARGET = 128
 PROBES = 24
+#: Rows of a piece, similarities held at a time (of one query at least), pieces that a query's bound is read from.
+PIECE, MOST_PAIRS, MOST_BOUNDS = 128, 1 << 22, 64
 SEED = 20_240_101
 TABLE_BITS = 63
 #: The table of models is broadcast up to this many; beyond it a shuffle joins it.
@@ -168,6 +170,21 @@ def cells_to_visit(fracs: list[np.ndarray], rs: list[np.ndarray], most: int = 15
     return found
 
 
+def _packed(x: np.ndarray) -> pa.Array:
+    """Rows of single precision as bytes: Spark then moves them whole, not number by number."""
+    ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(4 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _matrix(vec: pa.Array) -> np.ndarray:
+    """Vectors, packed or lists, as rows."""
+    if not pa.types.is_list(vec.type):
+        vec = vec.cast(pa.binary())
+        ends = np.frombuffer(vec.buffers()[1], np.int32)[vec.offset : vec.offset + len(vec) + 1]
+        return np.frombuffer(vec.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(len(vec), -1)
+    return vec.flatten().to_numpy().reshape(len(vec), -1)
+
+
 def _model_tag(name: str) -> np.int64:
     return np.int64(int.from_bytes(hashlib.blake2b(name.encode("utf-8"), digest_size=8).digest(), "little", signed=True))
 
@@ -184,7 +201,8 @@ def _placed(tables: int, cell_target: int = CELL_TARGET):
             for m, name in enumerate(names.dictionary.to_pylist()):
                 part = batch.take(pa.array(np.flatnonzero(names.indices.to_numpy() == m)))
                 size, vec, n = part.num_rows, part.column("vec"), part.column("n")[0].as_py()
-                x = _unit(vec.flatten().to_numpy().reshape(size, -1)).astype(np.float32)
+                raw = _matrix(vec)
+                x = _unit(raw).astype(np.float32)
                 sums, fracs, rs = [], [], []
                 for t in range(tables):
                     a, b, r = _random(x.shape[1], t, 0, coarse_hashes(n, cell_target), COARSE_W)
@@ -209,7 +227,7 @@ def _placed(tables: int, cell_target: int = CELL_TARGET):
                 order = np.argsort(rows, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=size))]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, tables, dtype=np.int32)), pa.array(own.ravel())), pa.ListArray.from_arrays(pa.array(ends), pa.array(others[order]))]
-                yield pa.RecordBatch.from_arrays([part.column("id"), vec, *lists], names=["id", "vec", "own", "visits"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), _packed(raw), *lists], names=["id", "vec", "own", "visits"])
 
     return run
 
@@ -223,6 +241,68 @@ def _probe_sets(m: int) -> tuple[np.ndarray, np.ndarray]:
     return sets[:, 0], sets[:, 1]
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as counted, one range after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+def _screen(u: np.ndarray, q: np.ndarray, d: np.ndarray, starts: np.ndarray, counts: np.ndarray, buckets: np.ndarray, k: int, keep: int) -> np.ndarray:
+    """For each query the ``keep`` most similar rows of its buckets, or -1: in
+    single precision, and only such as may be among its ``k``.
+
+    Buckets are runs of ``d`` that begin at ``starts``; query i visits the next
+    ``counts[i]`` of ``buckets``. They are compared in pieces. A query's k-th best
+    of the best in each piece is at most its k-th similarity, so what is worse by
+    more than rounding is not looked at again; likewise for ``keep``.
+    """
+    ud, slack = u[d], np.float32(2 * (u.shape[1] + 2) * 2.0**-24 + 1e-9)
+    length = np.diff(np.append(starts, len(d)))
+    visits = np.concatenate([[0], np.cumsum(counts)])
+    pairs = np.concatenate([[0], np.cumsum(length[buckets])])[visits]
+    cuts = -(-length // PIECE)
+    piece_of, nth = np.cumsum(cuts) - cuts, _ranges(np.zeros_like(cuts), cuts)
+    starts, length = np.repeat(starts, cuts) + PIECE * nth, np.minimum(PIECE, np.repeat(length, cuts) - PIECE * nth)
+    place = np.full(len(u), -1)
+    place[d] = np.arange(len(d))
+    who = np.full((len(q), keep), -1, np.int64)
+    low = 0
+    while low < len(q):
+        high = max(low + 1, int(np.searchsorted(pairs, pairs[low] + MOST_PAIRS, "right")) - 1)
+        b = buckets[visits[low] : visits[high]]
+        number = np.diff(np.concatenate([[0], np.cumsum(cuts[b])])[visits[low : high + 1] - visits[low]])
+        piece, row, col = _ranges(piece_of[b], cuts[b]), np.repeat(np.arange(high - low), number), _ranges(np.zeros_like(number), number)
+        order = np.argsort(piece, kind="stable")
+        piece, row, col = piece[order], row[order], col[order]
+        wide = length[piece]
+        at = np.cumsum(wide) - wide
+        s = np.empty(wide.sum(), np.float32)
+        uq = u[q[low:high]]
+        first = np.flatnonzero(np.diff(piece, prepend=-1))
+        for i, j, o, p, n in zip(*(v.tolist() for v in (first, np.append(first, len(piece))[1:], at[first], starts[piece[first]], wide[first])), strict=True):
+            np.matmul(uq[row[i:j]], ud[p : p + n].T, out=s[o : o + (j - i) * n].reshape(j - i, n))
+        own = place[q[low:high]][row] - starts[piece]
+        inside = (own >= 0) & (own < wide)
+        s[at[inside] + own[inside]] = -np.inf
+        best = np.maximum.reduceat(s, at) if len(at) else s
+        bound = np.full((high - low, max(keep, min(MOST_BOUNDS, number.max()))), -np.inf, np.float32)
+        some = col < MOST_BOUNDS
+        bound[row[some], col[some]] = best[some]
+        bound = np.partition(bound, [-keep, -k], axis=1)
+        bound = np.maximum(bound[:, -k] - slack, np.nextafter(bound[:, -keep], np.float32(-np.inf)))
+        near = np.flatnonzero(best > bound[row])
+        s, rows, row = s[_ranges(at[near], wide[near])], _ranges(starts[piece[near]], wide[near]), np.repeat(row[near], wide[near])
+        hit = np.flatnonzero(s > bound[row])
+        order = hit[np.argsort(4.0 * row[hit] - s[hit])]
+        row, rows = row[order], rows[order]
+        number = np.bincount(row, minlength=high - low)
+        col = _ranges(np.zeros_like(number), number)
+        top = col < keep
+        who[low + row[top], col[top]] = d[rows[top]]
+        low = high
+    return who
+
+
 def search_cell(ids: np.ndarray, vh: np.ndarray, x: np.ndarray, data: np.ndarray, query: np.ndarray, table: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query rows, neighbours' rows or -1, similarities) within one cell."""
     unit = _unit(x)
@@ -232,29 +312,10 @@ def search_cell(ids: np.ndarray, vh: np.ndarray, x: np.ndarray, data: np.ndarray
     new = np.concatenate([[True], vh[order][1:] != vh[order][:-1]]) if len(order) else np.zeros(0, bool)
     at = np.arange(len(order))
     d = order[at - np.maximum.accumulate(np.where(new, at, 0)) <= k]
-    keep = 2 * k + 3
-    best = np.full((len(x), keep), -np.inf, np.float32)
-    who = np.full((len(x), keep), -1, np.int64)
-
-    def visit(rows: np.ndarray, bucket: np.ndarray) -> None:
-        for i in range(0, len(rows), 4096):
-            r = rows[i : i + 4096]
-            for j in range(0, len(bucket), 8192):
-                b = bucket[j : j + 8192]
-                s = u[r] @ u[b].T
-                s[r[:, None] == b[None, :]] = -np.inf
-                if len(b) > keep:
-                    top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                    s, w = np.take_along_axis(s, top, 1), b[top]
-                else:
-                    w = np.broadcast_to(b, s.shape)
-                s, w = np.concatenate([best[r], s], axis=1), np.concatenate([who[r], w], axis=1)
-                top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                best[r], who[r] = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
-
     m = math.ceil(math.log(len(d) / BUCKET_TARGET) / FINE_LOG) if len(d) > 4 * BUCKET_TARGET else 0
     if not m:
-        visit(q, d)
+        starts = np.zeros(min(len(d), 1), np.int64)
+        counts, buckets = np.full(len(q), len(starts)), np.zeros(len(q) * len(starts), np.int64)
     else:
         a, b, r = _random(x.shape[1], table, 1, m, FINE_W)
         f = u @ a.T + b
@@ -268,8 +329,7 @@ def search_cell(ids: np.ndarray, vh: np.ndarray, x: np.ndarray, data: np.ndarray
         order = np.argsort(home[d], kind="stable")
         d = d[order]
         keys, starts = np.unique(home[d], return_index=True)
-        ends = np.append(starts[1:], len(d))
-        from_rows, to_bucket = [], []
+        counts, to_bucket = [], []
         for i in range(0, len(q), 4096):
             rows = q[i : i + 4096]
             cost = near[rows][:, one] + near[rows][:, two]
@@ -277,24 +337,20 @@ def search_cell(ids: np.ndarray, vh: np.ndarray, x: np.ndarray, data: np.ndarray
             first = np.argpartition(cost, probes - 1, axis=1)[:, :probes]
             target = home[rows][:, None] + step[one[first]] + step[two[first]]
             found = np.minimum(np.searchsorted(keys, target), len(keys) - 1)
-            hit_row, hit_col = np.nonzero(keys[found] == target)
-            from_rows.append(rows[hit_row])
-            to_bucket.append(found[hit_row, hit_col])
-        rows, buckets = np.concatenate(from_rows), np.concatenate(to_bucket)
-        order = np.argsort(buckets, kind="stable")
-        rows, buckets = rows[order], buckets[order]
-        cut = np.flatnonzero(np.diff(buckets)) + 1
-        for part, at in zip(np.split(rows, cut), np.split(buckets, cut), strict=True):
-            if len(part):
-                visit(part, d[starts[at[0]] : ends[at[0]]])
-    exact = np.full((len(q), keep), -np.inf)
+            hit = keys[found] == target
+            counts.append(hit.sum(axis=1))
+            to_bucket.append(found[hit])
+        counts, buckets = np.concatenate(counts), np.concatenate(to_bucket)
+    keep = 2 * k + 3
+    who = _screen(u, q, d, starts, counts, buckets, k, keep)
+    exact = np.full(who.shape, -np.inf)
     for i in range(0, len(q), 4096):
-        rows = q[i : i + 4096]
-        exact[i : i + 4096] = np.einsum("ij,ikj->ik", unit[rows], unit[who[rows]])
-    exact = np.where(who[q] < 0, -np.inf, np.round(exact, 9))
-    neighbour = np.where(who[q] < 0, np.iinfo(np.int64).max, ids[who[q]])
+        exact[i : i + 4096] = np.einsum("ij,ikj->ik", unit[q[i : i + 4096]], unit[who[i : i + 4096]])
+    exact = np.where(who < 0, -np.inf, np.round(exact, 9))
+    neighbour = np.where(who < 0, np.iinfo(np.int64).max, ids[who])
     top = np.lexsort((neighbour, -exact), axis=1)[:, :k]
-    return q, np.where(np.isinf(np.take_along_axis(exact, top, 1)), -1, np.take_along_axis(who[q], top, 1)), np.take_along_axis(exact, top, 1)
+    exact = np.take_along_axis(exact, top, 1)
+    return q, np.where(np.isinf(exact), -1, np.take_along_axis(who, top, 1)), exact
 
 
 #: Neighbours and their similarities in units of the ninth decimal.
@@ -305,7 +361,7 @@ UNITS = 1_000_000_000
 def _search(k: int):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        x = table.column("vec").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        x = _matrix(table.column("vec").combine_chunks())
         data = table.column("own").to_numpy()
         query = np.ones(len(ids), bool)
         order = np.lexsort((~data, ids))
@@ -341,7 +397,7 @@ def nearest(df: DataFrame, key: str, model: str, vector: str, k: int = K, tables
     of_rest = rest.join(heads, "vh").select(F.col("id").alias("q"), "c", F.lit(1.0).alias("similarity"), "rank")
 
     index = rows.join(rest.select("id"), "id", "left_anti") if not first.isEmpty() else rows
-    placed = materialise(index.mapInArrow(_placed(tables, cell_target), "id bigint, vec array<float>, own array<bigint>, visits array<bigint>"), "placed")
+    placed = materialise(index.mapInArrow(_placed(tables, cell_target), "id bigint, vec binary, own array<bigint>, visits array<bigint>"), "placed")
     entries = placed.select(F.explode("own").alias("cell"), F.lit(1).alias("kept")).unionByName(placed.select(F.explode("visits").alias("cell"), F.lit(0).alias("kept")))
     sizes = entries.groupBy("cell").agg(F.sum("kept").alias("kept"), F.count(F.lit(1)).alias("asked")).where("kept > 0")
     blocks = lambda c: F.ceil(F.col(c) / cell_rows).cast("int")
