@@ -303,6 +303,21 @@ def _screen(u: np.ndarray, q: np.ndarray, d: np.ndarray, starts: np.ndarray, cou
     return who
 
 
+def _screen_few(u: np.ndarray, q: np.ndarray, d: np.ndarray, keep: int) -> np.ndarray:
+    """The same where each query is compared with the few rows ``d``."""
+    who = np.full((len(q), keep), -1, np.int64)
+    for i in range(0, len(q), 4096):
+        rows, found = q[i : i + 4096], who[i : i + 4096, : len(d)]
+        s = u[rows] @ u[d].T
+        s[rows[:, None] == d] = -np.inf
+        if len(d) > keep:
+            top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+            found[:] = np.where(np.isinf(np.take_along_axis(s, top, 1)), -1, d[top])
+        else:
+            found[:] = np.where(np.isinf(s), -1, d)
+    return who
+
+
 def search_cell(ids: np.ndarray, vh: np.ndarray, x: np.ndarray, data: np.ndarray, query: np.ndarray, table: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query rows, neighbours' rows or -1, similarities) within one cell."""
     unit = _unit(x)
@@ -342,7 +357,8 @@ def search_cell(ids: np.ndarray, vh: np.ndarray, x: np.ndarray, data: np.ndarray
             to_bucket.append(found[hit])
         counts, buckets = np.concatenate(counts), np.concatenate(to_bucket)
     keep = 2 * k + 3
-    who = _screen(u, q, d, starts, counts, buckets, k, keep)
+    few = not m and len(d) <= 4 * PIECE
+    who = _screen_few(u, q, d, keep) if few else _screen(u, q, d, starts, counts, buckets, k, keep)
     exact = np.full(who.shape, -np.inf)
     for i in range(0, len(q), 4096):
         exact[i : i + 4096] = np.einsum("ij,ikj->ik", unit[q[i : i + 4096]], unit[who[i : i + 4096]])

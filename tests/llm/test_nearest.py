@@ -172,7 +172,7 @@ def _search_whole(n, dim, seed=0, equal=1):
     assert np.allclose(sims, best, rtol=0, atol=2e-9) and np.allclose(np.take_along_axis(s, rows, 1), best, rtol=0, atol=2e-9)
 
 
-@pytest.mark.parametrize(("piece", "pairs", "bounds"), [(128, 1 << 22, 64), (7, 1 << 22, 64), (3, 1, 2), (1, 1000, 9), (4096, 5000, 64)])
+@pytest.mark.parametrize(("piece", "pairs", "bounds"), [(128, 1 << 22, 64), (64, 1 << 22, 64), (7, 1 << 22, 64), (3, 1, 2), (1, 1000, 9), (4096, 5000, 64)])
 def test_screening_loses_nothing(monkeypatch, piece, pairs, bounds):
     monkeypatch.setattr(nn, "BUCKET_TARGET", 10_000)  # a cell is searched whole
     for name, value in (("PIECE", piece), ("MOST_PAIRS", pairs), ("MOST_BOUNDS", bounds)):
